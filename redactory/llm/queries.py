@@ -23,6 +23,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm.token_files import token_files
 
@@ -30,7 +36,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_token_files)}
+    return {f.__name__: f for f in (op1_token_counts, op3_simhash, op4_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
