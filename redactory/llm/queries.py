@@ -35,9 +35,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_simhash, op4_token_files)}
+    return {f.__name__: f for f in (op1_token_counts, op3_simhash, op4_token_files, op6_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from redactory.llm import decontam
+
+    return {"op6_decontamination": decontam.ORACLE_SQL}
