@@ -41,11 +41,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from redactory.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_simhash, op4_token_files, op6_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op3_simhash, op4_token_files, op6_decontamination, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from redactory.llm import decontam
+    from redactory.llm import decontam, quality
 
-    return {"op6_decontamination": decontam.ORACLE_SQL}
+    return {"op6_decontamination": decontam.ORACLE_SQL, "op8_quality_rules": quality.ORACLE_SQL}
