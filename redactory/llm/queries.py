@@ -23,6 +23,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.mixture import mix_documents
+
+    mixed = mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.selectExpr("doc_id", "__domain AS domain", "lang", "source", "__tokens AS n_tokens", "__copies AS copies")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm.simhash import simhash_components
 
@@ -50,7 +57,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_simhash, op4_token_files, op6_decontamination, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_simhash, op4_token_files, op6_decontamination, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
