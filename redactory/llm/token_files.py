@@ -17,18 +17,21 @@ one that pyarrow's file systems open (a mounted path, hdfs, s3, gs).
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redactory.llm.arrow import map_arrow, texts_of
-from redactory.llm.token_count import single_spaced
+from redactory.llm.token_count import PATTERN, byte_symbols
 from redactory.session import materialize, scratch_path
 
 MAGIC = b"TOKBITS1"
@@ -39,6 +42,10 @@ BLOCK_IDS = 4096
 CACHE_ENTRIES = 600_000
 
 
+#: White space other than a space or line feed, and NUL, which marks a text's first word below.
+ODD_SPACE = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 def id_width(vocabulary: int) -> int:
     return max(1, int(vocabulary - 1).bit_length())
 
@@ -143,6 +150,38 @@ class ShardReader:
             yield (None if entry["null"] else int(entry["doc_id"])), start, int(end) - start, crc
 
 
+class Stretches(dict):
+    """Ids (packed uint32) by stretch: a word after a space, or after a mark: line feed, or NUL for none.
+
+    The library's model gets one pre-token at a time: its own way through a text also makes offsets and strings for each token.
+    """
+
+    def __init__(self, library, special: list[str], feed: int):
+        self.library, self.model, self.special, self.feed = library, library.model.tokenize, special, array("I", [feed]).tobytes()
+        self.find = regex.compile(PATTERN).findall
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.pieces: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        mark, pieces = key[:1], self.pieces
+        text, ids = (key[1:], self.feed if mark == "\n" else b"") if mark == "\n" or mark == "\0" else (" " + key, b"")
+        if any(h in text for h in self.special):
+            ids += array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        else:
+            for piece in [text] if key.isalpha() else self.find(text):
+                if (own := pieces.get(piece)) is None:
+                    if len(pieces) >= CACHE_ENTRIES:
+                        pieces.clear()
+                    own = array("I", [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+                    pieces[piece] = own
+                ids += own
+        if len(key) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[key] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library. Stretches between white space are encoded once and kept as packed uint32."""
 
@@ -164,50 +203,22 @@ class Encoder:
         #: Cutting at single spaces and line feeds is exact for this pre-tokenizer only.
         cuts = spec["model"]["type"] == "BPE" and spec["pre_tokenizer"] is not None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
         self.library = Tokenizer.from_file(path)
-        #: Id of a line feed, or None where texts can't be cut.
-        self.feed = self.library.token_to_id("Ċ") if cuts else None
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.kept: dict[str, bytes] = {}
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.stretches = Stretches(self.library, special, self.library.token_to_id("Ċ")) if cuts else None
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def stretch_ids(self, stretches: list[str]) -> list[bytes]:
-        """Ids of stretches without line feeds, by one call over all: a line feed between two is always a token of its own."""
-        ids = np.array(self.library.encode_batch_fast(["\n".join(stretches)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == self.feed)
-        if len(cuts) != len(stretches) - 1:
-            return self.library_ids(stretches)
-        data, cuts = ids.tobytes(), (4 * cuts).tolist()
-        return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        kept, feed = self.kept, np.array([self.feed or 0], "<u4").tobytes()
-        if len(kept) > CACHE_ENTRIES:
-            kept.clear()
-        get = kept.get
-        lines: list[tuple[list[str], list[bytes | None]] | None] = []
-        fresh: dict[str, bytes] = {}
+        get, out = self.stretches.__getitem__ if self.stretches is not None else None, []
         for t in texts:
-            if self.feed is None or "\0" in t or not single_spaced(t):
-                lines.append(None)
-                continue
-            # a space belongs to the word after it; a line feed is a stretch of its own
-            own = t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            got = list(map(get, own))
-            if None in got:
-                fresh |= dict.fromkeys((w for w, g in zip(own, got, strict=True) if g is None), b"")
-            lines.append((own, got))
-        if fresh.pop("\n", None) is not None:
-            kept["\n"] = feed
-        if words := list(fresh):
-            for w, x in zip(words, self.stretch_ids(words), strict=True):
-                fresh[w] = x
-                if len(w) <= 64:
-                    kept[w] = x
-        fresh["\n"] = feed
-        whole = iter(self.library_ids([t for t, p in zip(texts, lines, strict=True) if p is None]))
-        return [np.frombuffer(next(whole) if p is None else b"".join([fresh[w] if g is None else g for w, g in zip(*p, strict=True)]), "<u4") for p in lines]
+            if get is None or not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or ODD_SPACE.search(t):
+                ids = self.library_ids([t])[0]
+            else:
+                ids = b"".join(map(get, ("\0" + t.replace("\n", " \n")).split(" ")))
+            out.append(np.frombuffer(ids, "<u4"))
+        return out
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, block: int = BLOCK_IDS) -> DataFrame:
@@ -226,8 +237,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: s
         end = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
         for b in batches:
             ids, texts = b.column(0).to_pylist(), list(texts_of(b.column(1)))
-            for i in range(0, len(texts), 256):
-                for doc_id, own in zip(ids[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
+            for i in range(0, len(texts), 64):
+                for doc_id, own in zip(ids[i : i + 64], encoder.encode(texts[i : i + 64]), strict=True):
                     shard.add(doc_id, np.concatenate((own, end)))
         if not shard.index:
             return
@@ -256,7 +267,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.withColumn("first", before).select("path", "first", "shard")
-    spread = placed.repartition(F.col("shard")).select("path", "first")
+    # rows are few and their files large: an explicit number of partitions, which Spark doesn't merge
+    spread = placed.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").select("path", "first")
     return map_arrow(spread, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
