@@ -42,6 +42,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm.decontam import contamination
 
@@ -57,7 +63,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_simhash, op4_token_files, op6_decontamination, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_simhash, op4_token_files, op5_html_text, op6_decontamination, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
