@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least doc_id. Shingles of five words; at most 4 bits differ."""
-    return near_dedup(docs, width=5)
+    """One document of each near-duplicate class: the one with the least doc_id. Shingles of five words; at most 8 bits differ."""
+    return near_dedup(docs, width=5, budget=8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
