@@ -54,6 +54,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.pii_crf import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.langid import identify, learn
+    from redactory.llm.split import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.where(fold("doc_id", 4) != 2).select("text", "lang"))
+    return identify(docs.withColumn("held_out", fold("doc_id", 4) == 2).select("doc_id", "held_out", "text"), model)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -63,7 +78,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_simhash, op4_token_files, op5_html_text, op6_decontamination, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_simhash, op4_token_files, op5_html_text, op6_decontamination, op7_personal_data, op8_quality_rules, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
