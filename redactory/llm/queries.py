@@ -77,8 +77,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.kneser_ney import count_model, score
+    from redactory.llm.split import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = count_model(docs.where(fold("doc_id", 5) != 1))
+    return score(docs.withColumn("held_out", fold("doc_id", 5) == 1).select("doc_id", "held_out", "text"), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_simhash, op4_token_files, op5_html_text, op6_decontamination, op7_personal_data, op8_quality_rules, op9_language)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_simhash, op4_token_files, op5_html_text, op6_decontamination, op7_personal_data, op8_quality_rules, op9_language, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
