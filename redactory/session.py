@@ -48,8 +48,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
+#: Narrow rows of a file in the shared folder.
+ROWS_PER_FILE = 200_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
+
+    rows: how many narrow rows there are at most, where that is known; they are then written in no more files than they need.
+    """
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(-(-max(rows, 1) // ROWS_PER_FILE))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
