@@ -6,9 +6,9 @@ blocks from the start of the payload; n_docs of (int64 doc_id, uint64 start in t
 payload, in which id k of a block takes bits [k * width, (k + 1) * width), lowest bit first. Blocks begin on byte boundaries, so any
 range of ids is read by one seek to its first block, and a block unpacks in numpy without a loop.
 
-Documents are dealt into ranges of doc_id; every task writes one shard under a name of its own attempt and reports it in a manifest,
-which Spark commits. A lost or repeated attempt leaves a file that no manifest names. Starts over all shards come from a running sum
-over the manifest, one row per shard.
+Documents are dealt into ranges of doc_id; every task writes one shard under a name of its own attempt and reports it to the manifest,
+one row per shard, which the driver holds. A lost or repeated attempt leaves a file that the manifest doesn't name. Starts over all
+shards are a running sum over it.
 
 Defined cases: a null or empty text has the end id only; rows with equal doc_id are all written, ordered by a hash of their text;
 null doc_ids come first; an empty table gives no shard and no rows; columns of other names are ignored. The shared folder must be
@@ -27,19 +27,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.llm.arrow import map_arrow, texts_of
 from redactory.llm.token_count import PATTERN, byte_symbols
-from redactory.session import materialize, scratch_path
+from redactory.session import scratch_path
 
 MAGIC = b"TOKBITS1"
 HEAD = np.dtype([("magic", "S8"), ("width", "<u4"), ("block", "<u4"), ("n_docs", "<u8"), ("n_ids", "<u8"), ("n_blocks", "<u8")])
 ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("null", "u1")])
 BLOCK_IDS = 4096
-#: Entries of a worker's table of encoded stretches; it is emptied when full.
-CACHE_ENTRIES = 600_000
+#: Entries of a worker's tables of encoded stretches and pre-tokens, about 200 bytes each; a full table is emptied.
+STRETCH_ENTRIES, PIECE_ENTRIES = 600_000, 200_000
 
 
 #: White space other than a space or line feed, and NUL, which marks a text's first word below.
@@ -160,27 +160,38 @@ class Stretches(dict):
         self.library, self.model, self.special, self.feed = library, library.model.tokenize, special, array("I", [feed]).tobytes()
         self.find = regex.compile(PATTERN).findall
         self.symbols = dict(enumerate(byte_symbols()))
+        self.space, self.stops = self.symbols[32], frozenset(".,")
         self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        mark, pieces = key[:1], self.pieces
-        text, ids = (key[1:], self.feed if mark == "\n" else b"") if mark == "\n" or mark == "\0" else (" " + key, b"")
-        if any(h in text for h in self.special):
-            ids += array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if key.isalpha():
+            ids = self.piece(" " + key)
+        elif key[-1:] in self.stops and key[:-1].isalpha():  # letters, then one stop: two pre-tokens
+            ids = self.piece(" " + key[:-1]) + self.piece(key[-1])
         else:
-            for piece in [text] if key.isalpha() else self.find(text):
-                if (own := pieces.get(piece)) is None:
-                    if len(pieces) >= CACHE_ENTRIES:
-                        pieces.clear()
-                    own = array("I", [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.symbols))]).tobytes()
-                    pieces[piece] = own
-                ids += own
+            mark = key[:1]
+            text, ids = (key[1:], self.feed if mark == "\n" else b"") if mark == "\n" or mark == "\0" else (" " + key, b"")
+            if any(h in text for h in self.special):
+                ids += array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                ids += b"".join(map(self.piece, self.find(text)))
         if len(key) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= STRETCH_ENTRIES:
                 self.clear()
             self[key] = ids
         return ids
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        if (own := self.pieces.get(piece)) is None:
+            if len(self.pieces) >= PIECE_ENTRIES:
+                self.pieces.clear()
+            symbols = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.symbols)
+            own = array("I", [t.id for t in self.model(symbols)]).tobytes()
+            if len(piece) <= 64:
+                self.pieces[piece] = own
+        return own
+
 
 class Encoder:
     """Ids of whole texts by the tokenizers library. Stretches between white space are encoded once and kept as packed uint32."""
@@ -221,8 +232,8 @@ class Encoder:
         return out
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, block: int = BLOCK_IDS) -> DataFrame:
-    """Writes shards in ascending order of id_col into folder (a new one). Returns the manifest: shard, path, n_docs, n_ids.
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, block: int = BLOCK_IDS) -> list[tuple[int, str, int, int]]:
+    """Writes shards in ascending order of id_col into folder (a new one). Returns the manifest: (shard, path, n_docs, n_ids) of each.
 
     One shuffle of (id, text) by ranges of id. end_id, if not None, follows each document.
     """
@@ -252,11 +263,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: s
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ranged = ranged.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    return map_arrow(ranged, run, "shard long, path string, n_docs long, n_ids long")
+    return [tuple(r) for r in map_arrow(ranged, run, "shard long, path string, n_docs long, n_ids long").collect()]
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (over all shards), n_tokens, ids_crc32 of every document, from the files of a written manifest."""
+def read_token_files(spark: SparkSession, manifest: list[tuple[int, str, int, int]], folder: str) -> DataFrame:
+    """doc_id, start (over all shards), n_tokens, ids_crc32 of every document, from the files that a manifest names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_folder(folder)
@@ -265,15 +276,14 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 rows = [(d, first + s, n, c) for d, s, n, c in ShardReader(fs, f"{base}/{name}").documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.withColumn("first", before).select("path", "first", "shard")
-    # rows are few and their files large: an explicit number of partitions, which Spark doesn't merge
-    spread = placed.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").select("path", "first")
-    return map_arrow(spread, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    first, placed = 0, []
+    for _, name, _, n_ids in sorted(manifest):
+        placed.append((name, first))
+        first += n_ids
+    return map_arrow(spark.createDataFrame(placed, "path string, first long"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str | None = None, **options) -> DataFrame:
     """Writes the token files of docs, then reads them back; see write_token_files and read_token_files."""
     folder = folder or scratch_path(spark, "token-files")
-    manifest = materialize(write_token_files(docs, tokenizer, folder, **options), "token-manifest")
-    return read_token_files(manifest, folder)
+    return read_token_files(spark, write_token_files(docs, tokenizer, folder, **options), folder)
