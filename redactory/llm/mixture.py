@@ -95,13 +95,14 @@ def mix(docs: DataFrame, tree: Tree, *, domain: Column, lang: str = "lang", sour
     name = lambda x: F.coalesce(x.cast("string"), F.lit(NO_NAME))
     held = docs.withColumns({d: name(domain), l: name(F.col(lang)), s: name(F.col(source)), "__tokens": F.coalesce(tokens, F.lit(0)).cast("long"), "__key": F.xxhash64(key)})
     held = materialize(held, "mixture-documents")
-    leaves = materialize(held.groupBy(*LEVELS).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "leaves")
+    leaves = held.groupBy(*LEVELS).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    leaves = materialize(leaves, "leaves", n_leaves := leaves.count())
     total = leaves.agg(F.sum("tokens").alias("t")).first().t or 0  # one number
     shares = leaf_budgets(leaves, tree, int(total * budget_ratio), epochs)
     plan = leaves.join(shares.select(*LEVELS, "share"), [*LEVELS])
     # ranges of the hash: as many as a leaf has documents in each, so neither step of the sum is large
     bits = F.least(F.lit(40), F.ceil(F.log2("n") / 2)).cast("int")
-    plan = materialize(plan.withColumns({"full": F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.when(F.col("share") > 0, epochs).otherwise(0)), "bits": bits}), "leaf-plan")
+    plan = materialize(plan.withColumns({"full": F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.when(F.col("share") > 0, epochs).otherwise(0)), "bits": bits}), "leaf-plan", n_leaves)
     plan = plan.withColumn("rest", F.col("share") - F.col("full") * F.col("tokens"))
     order = F.xxhash64("__key", F.lit(seed), F.col("full"))
     at = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(__order, 64 - bits)")).otherwise(F.lit(0).cast("long"))
@@ -113,13 +114,13 @@ def mix(docs: DataFrame, tree: Tree, *, domain: Column, lang: str = "lang", sour
     running = Window.partitionBy(*LEVELS).orderBy("__range")
     sums = sums.withColumn("upto", F.sum("t").over(running))
     ends = sums.where(F.col("upto") > F.col("rest")).groupBy(*LEVELS).agg(F.min(F.struct("__range", (F.col("upto") - F.col("t")).alias("before"))).alias("end"))
-    ends = materialize(ends, "leaf-ends")
+    ends = materialize(ends, "leaf-ends", n_leaves)
     rows = placed(held)
     rows = rows.join(ends, [*LEVELS], "left")
     edge = rows.where(F.col("__range") == F.col("end.__range")).select(*LEVELS, "__order", "__tokens", "rest", "end.before")
     inside = Window.partitionBy(*LEVELS).orderBy("__order").rangeBetween(Window.unboundedPreceding, 0)
     cut = edge.withColumn("upto", F.col("before") + F.sum("__tokens").over(inside)).where(F.col("upto") <= F.col("rest")).groupBy(*LEVELS).agg(F.max("__order").alias("last"))
-    cut = materialize(cut, "leaf-cuts")
+    cut = materialize(cut, "leaf-cuts", n_leaves)
     rows = rows.join(cut, [*LEVELS], "left")
     # order within a range is that of the signed hash, as in the window above
     in_part = (F.col("end").isNull()) | (F.col("__range") < F.col("end.__range")) | ((F.col("__range") == F.col("end.__range")) & (F.col("__order") <= F.col("last")))

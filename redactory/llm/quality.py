@@ -26,7 +26,7 @@ from redactory.session import materialize
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-RULES = {"min_words": 50, "repeat_percent": 50, "symbol_percent": 20, "line_percent": 60, "reject_rate": 0.9, "trust_rate": 0.01}
+RULES = {"min_words": 50, "repeat_percent": 50, "symbol_percent": 20, "line_percent": 60, "reject_rate": 0.95, "trust_rate": 0.01}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__lines")
 
 
@@ -65,7 +65,7 @@ def host_rates(judged_docs: DataFrame, host_col: str) -> DataFrame:
     alone gives, the prior has strength p (1 - p) / v - 1 (no less than 1; as large as 1e6 where hosts don't differ).
     """
     hosts = judged_docs.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("base_failed") | F.col("__soft")).cast("long")).alias("n_failed"))
-    hosts = materialize(hosts, "hosts")
+    hosts = materialize(hosts, "hosts", hosts.count())
     total = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count(F.lit(1)).alias("h"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("q")).first()  # one row
     if not total.n:
         return hosts.withColumn("rate", F.lit(0.0))
@@ -129,6 +129,6 @@ v AS (SELECT n, p, q - p * p - p * (1 - p) * (h - 1) / n AS b FROM s),
 k AS (SELECT p, CASE WHEN b > 0 THEN least(1e6, greatest(1.0, p * (1 - p) / b - 1)) ELSE 1e6 END AS a FROM v),
 r AS (SELECT source, (f + p * a) / (n + a) AS rate FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS host_rate,
-  NOT base_failed AND rate < 0.9 AND (NOT soft OR rate < 0.01) AS kept
+  NOT base_failed AND rate < 0.95 AND (NOT soft OR rate < 0.01) AS kept
 FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
 """
