@@ -6,8 +6,8 @@ over half of the shingles' XXH64 hashes (seed 42).
 Links: distinct fingerprints within `budget` differing bits. The 64 bits are cut into budget + k blocks, so two linked fingerprints
 agree in k whole blocks at least; for each choice of k blocks the fingerprints that agree there form a group, which is one subtree of
 a trie whose first levels are those blocks. k follows the number of distinct fingerprints, so that groups stay small; every choice of
-k finds the same links. A group above `group_limit` is split again by the same argument on its remaining bits until it is small or no
-bits are left. Within a group the trie is joined with itself: pairs of nodes descend together, differing bits add up, pairs above the
+k finds the same links. A group above `group_limit` is split again by the same argument on its remaining bits until it is small or so
+few bits are left that all its members are linked. Within a group the trie is joined with itself: pairs of nodes descend together, differing bits add up, pairs above the
 budget are dropped, and so are pairs whose leaves are all linked already. A group returns one link per member to the smallest of its
 local class, never its pairs. Classes over all groups come from rounds of minimum labels and pointer jumping over tables in the shared
 folder.
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,37 +31,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactory.llm.arrow import map_arrow, texts_of
+from redactory.llm.shingles import alike_links, bands_of, min_hashes
 from redactory.session import materialize
 
 BITS = 64
 
 
-def fingerprint(text: str, width: int) -> int:
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 (uint64) of each shingle, repeats included; none if there are no words."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
     joined, hash_ = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return hash_(joined, 42)
+        return np.array([hash_(joined, 42)] if words else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.append(0, ends[:-1])
-    h = np.array([hash_(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return np.array([hash_(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes."""
     set_ = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 255):  # counts of a slice fit in a byte
         set_ += np.unpackbits(h[i : i + 255].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return int(np.packbits(2 * set_ > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a signed long. No shuffle."""
+def fingerprint(text: str, width: int) -> int:
+    return majority(shingle_hashes(text, width))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, signed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long); if signed, also bands and signature of the shingles. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in texts_of(b.column(1))], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            hashes = [shingle_hashes(t, width) for t in texts_of(b.column(1))]
+            columns = [b.column(0), pa.array(np.array([majority(h) for h in hashes], "<u8").view("<i8"))]
+            if signed:
+                low = [min_hashes(h) for h in hashes]
+                columns += [pa.array([bands_of(x) if len(h) else [] for x, h in zip(low, hashes, strict=True)], pa.list_(pa.int64())), pa.array([x.astype(np.uint8).tobytes() for x in low], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands", "signature"][: len(columns)])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
+    more = ", bands array<long>, signature binary" if signed else ""
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long{more}")
 
 
 # --- the join of a sorted forest of tries with itself
@@ -84,7 +98,7 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         labels = _roots(labels)
 
 
-def trie_classes(keys: np.ndarray, group: np.ndarray, budget: int, most: int = 1 << 20) -> np.ndarray:
+def trie_classes(keys: np.ndarray, group: np.ndarray, budget: int, most: int = 1 << 18) -> np.ndarray:
     """Labels of linked fingerprints: keys (uint64, distinct in a group) in order within each group, groups one after another.
 
     A node of a trie is a range of the sorted keys. The front holds pairs of nodes of one level with their differing bits so far; all
@@ -159,77 +173,107 @@ def _field(fp, bits: list[int]):
 
 def agreeing(count: int, budget: int, size: int) -> int:
     """The least k for which groups that agree in k of budget + k blocks have about `size` members among evenly spread fingerprints."""
-    for k in range(1, 5):
-        if count / 2 ** (BITS * k // (budget + k)) <= size:
-            return k
-    return 4
+    k = 1
+    while count > size * 2 ** (BITS * k / (budget + k)) and comb(budget + k + 1, k + 1) <= 256:
+        k += 1
+    return k
 
 
-def grouped(reps: DataFrame, budget: int, k: int, group_limit: int) -> DataFrame:
-    """fp, choice, value: the groups of each fingerprint, none above group_limit unless all its bits agree."""
-    done, choice = [], 0
-    open_ = [(reps.select("fp", F.lit(0).cast("long").alias("under")), list(range(BITS)), k)]
-    while open_:
-        rows, bits, agree = open_.pop()
-        blocks = cut(bits, budget + agree)
-        made, left = [], {}
-        for chosen in combinations(range(len(blocks)), agree):
-            choice += 1
-            inside = sum((blocks[i] for i in chosen), [])
-            left[choice] = [b for b in bits if b not in inside]
-            made.append((choice, inside))
-        keys = F.array(*(F.struct(F.lit(c).alias("choice"), F.xxhash64("under", F.lit(c), _field(F.col("fp"), inside)).alias("value")) for c, inside in made))
-        keyed = rows.select("fp", F.explode(keys).alias("g")).select("fp", "g.choice", "g.value")
-        large = materialize(keyed.groupBy("choice", "value").count().where(F.col("count") > group_limit).drop("count"), "simhash-large")
-        found = [r.choice for r in large.select("choice").distinct().collect()]  # of the choices made here, a few dozen at most
-        if not found:
-            done.append(keyed)
-            continue
-        done.append(keyed.join(large, ["choice", "value"], "left_anti"))
-        for c in found:
-            held = keyed.where(F.col("choice") == c).join(large, ["choice", "value"], "left_semi")
-            if len(left[c]) <= budget:
-                done.append(held)  # any two differ in so few bits: the pruned join links them along the order
-            else:
-                open_.append((held.select("fp", F.col("value").alias("under")), left[c], 1))
-    return reduce(DataFrame.union, done)
+def keyed(rows: DataFrame, bits: list[int], blocks: int, agree: int) -> tuple[DataFrame, dict[int, list[int]]]:
+    """(fp, value) of each group that a fingerprint is in, and the bits that are left of each choice of blocks.
 
+    rows: fp, under (what the group is part of). value: a hash of all that its members agree in, with the choice in its last byte.
+    """
+    parts = cut(bits, blocks)
+    choices = dict(enumerate(combinations(range(blocks), agree)))
+    if len(choices) > 256:
+        raise ValueError("more choices of blocks than a byte tells apart")
+    inside = {c: sum((parts[i] for i in chosen), []) for c, chosen in choices.items()}
+    values = F.array(*(F.xxhash64("under", F.lit(c), _field(F.col("fp"), own)).bitwiseAND(F.lit(-256)).bitwiseOR(F.lit(c).cast("long")) for c, own in inside.items()))
+    return rows.select("fp", F.explode(values).alias("value")), {c: [b for b in bits if b not in own] for c, own in inside.items()}
 
-def group_links(groups: DataFrame, budget: int) -> DataFrame:
-    """fp, root: for each member of a group that is linked, the smallest of its class there."""
 
-    def finish(fp: np.ndarray, group: np.ndarray) -> pa.RecordBatch | None:
-        labels = trie_classes(fp, group, budget)
-        own = np.flatnonzero(labels != np.arange(len(fp)))
-        signed = fp.view("<i8")
-        return pa.RecordBatch.from_arrays([pa.array(signed[own]), pa.array(signed[labels[own]])], names=["fp", "root"])
+def group_links(groups: DataFrame, budget: int, limit: int, last: frozenset[int]) -> DataFrame:
+    """fp, root, value. For each linked member of a group: the smallest of its class there. For each member of a group above limit: value.
+
+    Groups of the choices in `last` are never above the limit: all their members are linked. One shuffle; a group is read in order and
+    never held beyond the limit.
+    """
+
+    def rows(fp: np.ndarray, root: np.ndarray | None, value: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(fp), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(fp.view("<i8")), none if root is None else pa.array(root.view("<i8")), none if value is None else pa.array(value)], names=["fp", "root", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come in order of group and fingerprint; whole groups are worked off once some thousands of rows wait
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def ready(all_of_it: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            fp, choice, value = (np.concatenate(x) for x in zip(*held, strict=True))
-            edge = np.flatnonzero(np.append(True, (choice[1:] != choice[:-1]) | (value[1:] != value[:-1])))
-            end = len(fp) if all_of_it else int(edge[-1])
-            if end:
-                group = np.searchsorted(edge, np.arange(end), side="right")
-                yield finish(fp[:end], group)
-            held, size = [(fp[end:], choice[end:], value[end:])], len(fp) - end
+        held = (np.zeros(0, "<u8"), np.zeros(0, "<i8"))
+        over: int | None = None  # a group above the limit of which rows may still come
+        first: dict[int, int] = {}  # the first member of a group of a last choice that is still open
+
+        def ready(fp: np.ndarray, value: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.append(True, value[1:end] != value[: end - 1])) if end else np.zeros(0, int)
+            sizes = np.diff(np.append(edge, end))
+            large = np.repeat(sizes > limit, sizes)
+            if large.any():
+                yield rows(fp[:end][large], None, value[:end][large])
+            fp, group = fp[:end][~large], np.repeat(np.arange(len(edge)), sizes)[~large]
+            if len(fp):
+                labels = trie_classes(fp, group, budget)
+                own = np.flatnonzero(labels != np.arange(len(fp)))
+                yield rows(fp[own], fp[labels[own]], None)
 
         for b in batches:
-            held.append((b.column(0).to_numpy().view("<u8"), b.column(1).to_numpy(), b.column(2).to_numpy()))
-            size += b.num_rows
-            if size >= 50_000:
-                yield from ready(False)
-        if size:
-            yield from ready(True)
+            fp, value = b.column(0).to_numpy().view("<u8"), b.column(1).to_numpy()
+            if last:
+                whole = np.isin(value & 255, list(last))
+                if whole.any():
+                    f, v = fp[whole], value[whole]
+                    edge = np.append(True, v[1:] != v[:-1])
+                    if int(v[0]) in first:
+                        edge[0] = False
+                    roots = np.where(edge, f, 0)
+                    start = np.uint64(first.get(int(v[0]), 0))
+                    at = np.maximum.accumulate(np.where(edge, np.arange(len(f)), -1))
+                    roots = np.where(at >= 0, f[np.maximum(at, 0)], start)
+                    first = {int(v[-1]): int(roots[-1])}
+                    yield rows(f[roots != f], roots[roots != f], None)
+                    fp, value = fp[~whole], value[~whole]
+            if over is not None:
+                more = value == over
+                if more.any():
+                    yield rows(fp[more], None, value[more])
+                    fp, value = fp[~more], value[~more]
+                if len(value):
+                    over = None
+            held = (np.concatenate((held[0], fp)), np.concatenate((held[1], value)))
+            if len(held[0]) >= 32_768:
+                end = int(np.flatnonzero(held[1] != held[1][-1])[-1] + 1) if held[1][0] != held[1][-1] else 0
+                yield from ready(*held, end)
+                held = (held[0][end:], held[1][end:])
+                if len(held[0]) > limit:
+                    over = int(held[1][0])
+                    yield rows(held[0], None, held[1])
+                    held = (held[0][:0], held[1][:0])
+        yield from ready(*held, len(held[0]))
 
     # unsigned order: the sign bit is turned for sorting
-    dealt = groups.repartition("choice", "value").sortWithinPartitions("choice", "value", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))
-    return map_arrow(dealt, run, "fp long, root long")
+    dealt = groups.repartition("value").sortWithinPartitions("value", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))
+    return map_arrow(dealt, run, "fp long, root long, value long")
+
+
+def all_links(reps: DataFrame, budget: int, k: int, limit: int) -> DataFrame:
+    """a, b: links that connect every two fingerprints within the budget."""
+    found, open_ = [], [(reps.select("fp", F.lit(0).cast("long").alias("under")), list(range(BITS)), k)]
+    while open_:
+        rows, bits, agree = open_.pop()
+        groups, left = keyed(rows, bits, min(len(bits), budget + agree), agree)
+        # with so few bits left, any two members of a group are within the budget
+        last = frozenset(c for c, rest in left.items() if len(rest) <= budget)
+        out = materialize(group_links(groups, budget, limit, last), "group-links")
+        found.append(out.where("value IS NULL").select(F.col("fp").alias("a"), F.col("root").alias("b")))
+        large = out.where("value IS NOT NULL")
+        for r in large.select(F.col("value").bitwiseAND(F.lit(255)).alias("c")).distinct().collect():  # 256 at most
+            open_.append((large.where(F.col("value").bitwiseAND(F.lit(255)) == r.c).select("fp", F.col("value").alias("under")), left[r.c], 1))
+    return reduce(DataFrame.union, found)
 
 
 # --- classes
@@ -241,14 +285,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round gives every node the least label among itself and its neighbours, then the label of that label. Joins and sums are over
     keys that Spark splits or sums before shuffling; each round is a table in the shared folder.
     """
-    both = materialize(links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    size = None
+    for _ in range(2):  # the neighbours of a node are linked to the least of them instead: a dense class has few links then
+        down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        down = materialize(down, "links", size)
+        size = 2 * down.count()
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        links = materialize(down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b").where("a <> b").distinct(), "links", size)
+    both = materialize(links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), "links", size)
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels", size)
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         least = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        least = materialize(least, "labels")
+        least = materialize(least, "labels", size)
         jump = least.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = materialize(least.join(jump, "root", "left").select("node", F.least("root", "up").alias("root"), "was"), "labels")
+        new = materialize(least.join(jump, "root", "left").select("node", F.least("root", "up").alias("root"), "was"), "labels", size)
         changed = new.where(F.col("root") < F.col("was")).limit(1).count()
         labels = new.select("node", "root")
         if not changed:
@@ -256,13 +307,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, group_size: int = 256, group_limit: int = 8192) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id that is reachable)."""
-    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, group_size: int = 64, group_limit: int = 8192, alike: float | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id that is reachable).
+
+    alike: texts are also linked where at least this share of their min-hashes is equal (see redactory.llm.shingles).
+    """
+    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, signed=alike is not None), "fingerprints")
+    more = [F.min(F.struct("signature", "bands")).alias("s")] if alike is not None else []
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *more), "distinct-fingerprints")
     k = agreeing(reps.count(), budget, group_size)
-    links = group_links(grouped(reps, budget, k, group_limit), budget).select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    links = all_links(reps, budget, k, group_limit)
+    if alike is not None:
+        links = links.union(alike_links(reps.select("fp", "s.bands", "s.signature"), alike))
     roots = components(links)
+    reps, fps = reps.select("fp", "least"), fps.select("doc_id", "fp")
     placed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
@@ -277,7 +335,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     classes = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
     kept = materialize(classes.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).groupBy(F.col("doc_id").alias("__id")).count(), "kept-ids")
     match = docs[id_col].eqNullSafe(F.col("__id"))
-    out = docs.join(kept.where(F.col("count") == 1).select("__id"), match).drop("__id")
+    # both sides grow with the documents: they are always merged, never broadcast
+    out = docs.join(kept.where(F.col("count") == 1).select("__id").hint("merge"), match).drop("__id")
     several = kept.where(F.col("count") > 1).select("__id")
     if several.limit(1).count():  # rows that share an id: only these are shuffled once more
         out = out.union(docs.join(several, match).drop("__id").dropDuplicates([id_col]))
