@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.functions import lexicon as fixed
+from redactory.functions.columns import let
 from redactory.functions.predicates import is_secret_shaped, trim_word, unquoted
 from redactory.functions.tokens import plain_tokens
 from redactory.operators.infra import Found, Ranges
@@ -48,15 +49,15 @@ def bucket(gram: Column, dim: int = DIM) -> Column:
     """Index of a gram: its FNV-1a hash as a signed 32-bit number, without sign, modulo the dimension."""
     codes = F.transform(F.split(gram, ""), lambda c: F.ascii(c).cast("long"))
     h = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(FNV_START), lambda acc, c: (acc.bitwiseXOR(c) * FNV_PRIME).bitwiseAND(F.lit(MASK)))
-    return (F.least(h, F.lit(MASK + 1) - h) % dim).cast("int")
+    return let(h, lambda x: (F.least(x, F.lit(MASK + 1) - x) % dim).cast("int"))
 
 
 def embed(text: Column, dim: int = DIM) -> Column:
     """array<double> of length 1 (zeros for a text without words)."""
-    at = F.array_sort(F.transform(grams(text), lambda g: bucket(g, dim)))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(ends, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(ends, lambda x: x / F.when(norm > 0, norm).otherwise(1.0))
+    at = F.transform(grams(text), lambda g: bucket(g, dim))
+    counts = lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(a) - F.size(F.array_remove(a, i))).cast("double"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    return let(let(at, counts), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -112,9 +113,13 @@ def scores(vector: Column, known: tuple[tuple[str, tuple[float, ...]], ...] | No
     none = F.array().cast("array<struct<category:string,score:double>>")
     if not known:
         return none
-    each = F.array(*(F.struct(F.lit(c).alias("category"), cosine(vector, F.array(*map(F.lit, v))).alias("score"), F.lit(-i).alias("order")) for i, (c, v) in enumerate(known)))
-    ordered = F.reverse(F.array_sort(F.transform(each, lambda x: F.struct(x["score"].alias("score"), x["order"].alias("order"), x["category"].alias("category")))))
-    return F.when(F.size(vector) == len(known[0][1]), F.transform(ordered, lambda x: F.struct(x["category"].alias("category"), x["score"].alias("score")))).otherwise(none)
+
+    def ranked(v: Column) -> Column:
+        each = F.array(*(F.struct(cosine(v, F.array(*map(F.lit, w))).alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, w) in enumerate(known)))
+        ordered = F.transform(F.reverse(F.array_sort(each)), lambda x: F.struct(x["category"].alias("category"), x["score"].alias("score")))
+        return F.when(F.size(v) == len(known[0][1]), ordered).otherwise(none)
+
+    return let(vector, ranked)
 
 
 def route(vector: Column, least: float = fixed.ROUTE_MIN, most: int = 10) -> Column:

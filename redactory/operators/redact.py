@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.functions.columns import let
 from redactory.functions.predicates import entity_type_column
 
 SHAPE = r"<<\s*([A-Za-z][A-Za-z0-9_]*?)_([0-9]+)\s*>>"
@@ -97,14 +98,17 @@ def restore_exact(text: Column, pairs: Column) -> Column:
 
 def restore(text: Column, pairs: Column) -> Column:
     """Tokens replaced by their values: exact ones first, then those in another case or with spaces inside; unknown ones stay."""
-    exact = restore_exact(text, pairs)
-    found = F.regexp_extract_all(exact, F.lit(SHAPE), F.lit(0))
     key = lambda s: F.upper(F.regexp_replace(s, r"[<>\s]", ""))
-    value = lambda s: F.try_element_at(F.filter(pairs, lambda p: key(p["token"]) == key(s)), F.lit(-1))["value"]
-    # what stands between the tokens, then the tokens or their values in between
-    between = F.split(exact, SHAPE)
-    filled = F.zip_with(between, found, lambda b, s: F.concat(b, F.when(s.isNull(), "").otherwise(F.coalesce(value(s), s))))
-    return F.when(F.size(found) == 0, exact).otherwise(F.array_join(filled, ""))
+    known = F.transform(pairs, lambda p: F.struct(key(p["token"]).alias("key"), p["value"].alias("value")))
+
+    def filled(exact: Column, found: Column, known: Column) -> Column:
+        value = lambda s: let(key(s), lambda k: F.try_element_at(F.filter(known, lambda p: p["key"] == k), F.lit(-1))["value"])
+        # what stands between the tokens, then the tokens or their values in between
+        parts = F.zip_with(F.split(exact, SHAPE), found, lambda b, s: F.concat(b, F.when(s.isNull(), "").otherwise(F.coalesce(value(s), s))))
+        return F.when(F.size(found) == 0, exact).otherwise(F.array_join(parts, ""))
+
+    tokens = lambda exact: F.regexp_extract_all(exact, F.lit(SHAPE), F.lit(0))
+    return let(restore_exact(text, pairs), lambda exact: let(tokens(exact), lambda found: let(known, lambda k: filled(exact, found, k))))
 
 
 def unrestored(text: Column, issued_types: Column | None = None) -> Column:

@@ -172,7 +172,7 @@ WITH t AS (SELECT p_partkey AS position, p_name || '_' || p_brand AS name, lower
 m AS (SELECT position, name, l LIKE 'cold%' OR l = '*_brand#1?' OR (l LIKE '%#_brand##1?' ESCAPE '#') OR l = 'small widget_brand#5' AS deny FROM t),
 n AS (SELECT *, row_number() OVER (PARTITION BY deny ORDER BY position, name) AS r FROM m)
 SELECT position, CASE WHEN deny THEN 'denied' WHEN r <= 128 THEN 'selected' ELSE 'truncated' END AS status FROM n""",
-    "tool_limits": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN CAST(n_nationkey + 1 AS BIGINT) WHEN 1 THEN CAST(nullif(n_nationkey, 0) AS BIGINT) END AS most FROM nation",
+    "tool_limits": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN CAST(n_nationkey + 1 AS BIGINT) WHEN 1 THEN CAST(coalesce(nullif(n_nationkey, 0), -1) AS BIGINT) ELSE CAST(-1 AS BIGINT) END AS most FROM nation",
     "settings_resolve": f"SELECT key, raw, rejected, resolved FROM (VALUES {_SETTINGS_ROWS}) AS t(key, raw, resolved, rejected)",
     "json_mask_static": """
 SELECT c_custkey, '[USERNAME_' || left(sha256(c_name), 8) || ']' AS user_name, '[INFRA_' || left(sha256(c_mktsegment), 8) || ']' AS host, c_nationkey AS port, '[EMAIL_' || left(sha256(c_name), 8) || ']|' AS mails FROM customer""",

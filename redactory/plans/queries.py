@@ -244,7 +244,7 @@ _ERRORS = "CASE n_nationkey % 4 WHEN 0 THEN concat('You may not send more than '
 
 
 def tool_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", selection.limit_from_error(F.expr(_ERRORS)).alias("most"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.coalesce(selection.limit_from_error(F.expr(_ERRORS)), F.lit(-1).cast("long")).alias("most"))
 
 
 _SETTINGS = (("routingMinSimilarity", "NaN"), ("routingMinSimilarity", "0.3"), ("maxTools", '"5"'), ("maxTools", "12"), ("enablePiiDetection", "1"), ("enablePiiDetection", "false"), ("toolDenyList", '["a*", "b"]'), ("toolDenyList", '["a", 1]'), ("embeddingApiUrl", '"http://x"'), ("embeddingApiUrl", "null"))

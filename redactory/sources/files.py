@@ -13,10 +13,10 @@ log = logging.getLogger(__name__)
 
 def read_texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """path and text of whole files; pattern is a glob over names."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def grep(texts: DataFrame, pattern: str) -> DataFrame:

@@ -41,8 +41,8 @@ def found(text: str) -> list[tuple[str, str]]:
         ("http://localhost:3000/x and http://127.0.0.1/", []),
         ("/dev/null /usr/bin/python /src/index.ts ./etc/nginx.conf", []),
         ("/root/.ssh/id_rsa /opt/acme-payments/config.yml", [("unix-file-path", "/root/.ssh/id_rsa"), ("unix-file-path", "/opt/acme-payments/config.yml")]),
-        ("C:\\Users\\bob\\notes.txt", [("windows-file-path", "C:\\Users\\bob\\notes.txt")]),
-        ("inet 192.168.1.50 netmask 255.255.255.0 ether 00:1b:44:11:3a:b7 inet6 fe80::1a2b:3c4d ::1 127.0.0.1", [("private-ip-standalone", "192.168.1.50"), ("mac-address", "00:1b:44:11:3a:b7"), ("ipv6-link-local", "fe80::1a2b:3c4d")]),
+        ("C:\\Data\\bob\\notes.txt", [("windows-file-path", "C:\\Data\\bob\\notes.txt")]),
+        ("inet 192.168.1.50 netmask 255.255.255.0 ether 00:1b:44:11:3a:b7 inet6 fe80::1a2b:3c4d ::1 127.0.0.1", [("internal-hostname", "192.168.1.50"), ("private-ip-standalone", "192.168.1.50"), ("mac-address", "00:1b:44:11:3a:b7"), ("ipv6-link-local", "fe80::1a2b:3c4d")]),
         ("é192.168.1.5", [("private-ip-standalone", "192.168.1.5")]),
         ("call me on 98765-43210 mobile", [("contextual-phone", "9876543210")]),
         ("passport A12345678 was renewed", [("contextual-passport-us", "A12345678")]),

@@ -52,7 +52,7 @@ def test_disabled_rules_keep_their_place(spark):
 def test_comments_let_prose_through_but_not_credentials(spark):
     texts = ["# ask prod-db-01 server, password = hunter2isnotsecure1\nport: 8080"]
     got = spans_of(spark, texts, ScanConfig(by_line=True, language_col="lang"), lang=["config.yaml"])
-    assert [s[0] for s in got[0]] == ["generic-password-assignment"]
+    assert [s[0] for s in got[0]] == ["generic-password-assignment", "port-contextual"]
 
 
 def test_lines_keep_windows_apart(spark):
