@@ -39,7 +39,7 @@ HEAD = np.dtype([("magic", "S8"), ("width", "<u4"), ("block", "<u4"), ("n_docs",
 ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("null", "u1")])
 BLOCK_IDS = 4096
 #: Entries of a worker's tables of encoded stretches and pre-tokens, about 200 bytes each; a full table is emptied.
-STRETCH_ENTRIES, PIECE_ENTRIES = 600_000, 200_000
+STRETCH_ENTRIES, PIECE_ENTRIES = 900_000, 120_000
 
 
 #: White space other than a space or line feed, and NUL, which marks a text's first word below.
