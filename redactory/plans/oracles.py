@@ -193,5 +193,23 @@ SELECT c_custkey, '[USERNAME_' || left(sha256(c_name), 8) || ']' AS user_name, '
 }
 
 
-#: Expected kinds of the notes, for tests: (template, rule).
+#: Expected kinds of the notes: (template, rule). The cards of template 3 depend on their digits.
 EXPECTED_KINDS = _detected()
+_OTHERS = {
+    "aadhaar-india-contextual": ("high", "PII"), "port-contextual": ("low", "INFRA"), "internal-hostname-contextual": ("medium", "INFRA"), "proximity-password": ("medium", "SECRET"), "internal-url": ("medium", "INFRA"), "external-url": ("low", "INFRA"),
+    "unix-file-path": ("low", "INFRA"), "windows-file-path": ("low", "INFRA"), "private-ip-standalone": ("medium", "INFRA"), "public-ip-standalone": ("low", "INFRA"), "mac-address": ("medium", "INFRA"), "ipv6-link-local": ("low", "INFRA"),
+    "contextual-phone": ("medium", "PII"), "contextual-passport-us": ("high", "PII"), "contextual-account-number": ("high", "PII"), "contextual-customer-id": ("medium", "PII"),
+}
+
+
+def _kind(rule_id: str) -> str:
+    severity, category = _OTHERS.get(rule_id) or (RULES[rule_id].severity, RULES[rule_id].category)
+    return f"{lit(rule_id)} AS rule_id, {lit(severity)} AS severity, {lit(category)} AS category"
+
+
+ORACLES["detect_notes"] = (
+    f"WITH n AS (SELECT note_id, note_id % 30 AS t, '4532 0151 1283 ' || lpad(CAST(note_id % 10000 AS VARCHAR), 4, '0') AS v FROM ({NOTES})), f AS ("
+    + " UNION ALL ".join(f"SELECT note_id, {_kind(r)} FROM n WHERE t = {t}" for t, r in [*EXPECTED_KINDS, (3, "credit-card")])
+    + f" UNION ALL SELECT note_id, {_kind('credit-card')} FROM n WHERE t = 3 AND {KEEP['credit-card']} UNION ALL SELECT note_id, {_kind('aadhaar-india')} FROM n WHERE t = 3 AND NOT {KEEP['credit-card']}"
+    + ") SELECT rule_id, severity, category, count(*) AS n, count(DISTINCT note_id) AS n_notes FROM f GROUP BY 1, 2, 3"
+)
