@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the least doc_id: shingles of five words, a similarity of 0.8 or more."""
-    return near_dedup(docs, width=5, alike=0.75)
+    """One document of each near-duplicate class, the one with the least doc_id: shingles of five words, a exact Jaccard similarity of 0.8 or more."""
+    return near_dedup(docs, width=5, alike=0.6, similarity=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Links of texts whose sets of word shingles are alike, for what a SimHash of 64 bits can't tell apart from chance.
 
 A Jaccard similarity of 0.8 changes about 10 of a SimHash's 64 bits, far beyond any error budget that an index can serve. So texts also
-get 64 min-hashes of their shingles: bands of 4 propose groups, and the share of equal min-hashes (one byte each) confirms links within
+get 64 min-hashes of their shingles: bands of 4 propose groups, and the share of equal min-hashes (one byte each) proposes links within
 a group. A group gives one link per member to the first of its class, never its pairs; members that are linked already are not compared
 again, so a group of copies costs a pass over it. Rows of bands that nobody shares go no further than one narrow shuffle.
+
+What is proposed is confirmed exactly: the texts of a proposed class meet once, in blocks of BLOCK texts of which every two come together
+in a task, and are linked where the Jaccard similarity of their shingle sets is large enough. A chain of loose links thus only decides
+which texts are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from redactory.llm.arrow import map_arrow
 
 HASHES, BAND = 64, 4
+#: Texts of a block; a task holds the shingle sets of two blocks at most.
+BLOCK = 512
 #: Odd factors and offsets of the hash functions, from a fixed seed.
 _RNG = np.random.default_rng(42)
 FACTORS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,48 +66,75 @@ def alike_classes(rows: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
+def jaccard_classes(sets: list[np.ndarray], rows: np.ndarray, least: float, similarity: float) -> np.ndarray:
+    """Labels (index of a member) of sets (sorted, distinct) with a Jaccard similarity of at least `similarity`, linked or by a chain of links.
+
+    Only sets of which the share of equal bytes in rows (n, HASHES) is at least `least` and the sizes allow it are compared.
+    """
+    label, size = np.arange(len(sets)), np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        root = queue[0]
+        while queue and len(left):
+            x = queue.pop()
+            near = (rows[left] == rows[x]).mean(axis=1) >= least
+            near &= np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9
+            for at in np.flatnonzero(near).tolist():
+                y = left[at]
+                both = int(np.isin(sets[x], sets[y], assume_unique=True).sum())
+                either = int(size[x] + size[y]) - both
+                near[at] = not either or both / either >= similarity
+            found = left[near]
+            if len(found):
+                label[found] = root
+                left = left[~near]
+                queue += found.tolist()
+    return label
+
+
 def shared_bands(reps: DataFrame) -> DataFrame:
-    """(fp, value) of the bands (fp, bands) that several have."""
+    """(key, value) of the bands (key, bands) that several have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come in order of their band; the last row waits for the next batch
-        last_fp, last_value, several = None, None, False
+        last_key, last_value, several = None, None, False
         for b in batches:
-            fp, value = b.column(0).to_numpy(), b.column(1).to_numpy()
+            key, value = b.column(0).to_numpy(), b.column(1).to_numpy()
             if last_value is not None:
-                fp, value = np.append(last_fp, fp), np.append(last_value, value)
+                key, value = np.append(last_key, key), np.append(last_value, value)
             same = value[1:] == value[:-1]
             keep = np.append(several, same) | np.append(same, False)
             keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(value[keep])], names=["fp", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(value[keep])], names=["key", "value"])
             several = bool(same[-1]) if len(same) else several
-            last_fp, last_value = fp[-1], value[-1]
+            last_key, last_value = key[-1], value[-1]
         if last_value is not None and several:
-            yield pa.RecordBatch.from_arrays([pa.array([int(last_fp)], pa.int64()), pa.array([int(last_value)], pa.int64())], names=["fp", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(last_key)], pa.int64()), pa.array([int(last_value)], pa.int64())], names=["key", "value"])
 
-    rows = reps.select("fp", F.explode("bands").alias("value"))
-    return map_arrow(rows.repartition("value").sortWithinPartitions("value"), run, "fp long, value long")
+    rows = reps.select("key", F.explode("bands").alias("value"))
+    return map_arrow(rows.repartition("value").sortWithinPartitions("value"), run, "key long, value long")
 
 
 def alike_links(reps: DataFrame, least: float) -> DataFrame:
-    """a, b: links of reps (fp, bands, signature) with a share of equal min-hashes of at least `least`."""
+    """a, b: links of reps (key, bands, signature) with a share of equal min-hashes of at least `least`; they only propose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def ready(all_of_it: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            fp, value, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, value, rows = (np.concatenate(x) for x in zip(*held, strict=True))
             edge = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-            end = len(fp) if all_of_it else int(edge[-1])
+            end = len(key) if all_of_it else int(edge[-1])
             a, b = [], []
-            for i, j in zip(edge, np.append(edge[1:], len(fp)), strict=True):
+            for i, j in zip(edge, np.append(edge[1:], len(key)), strict=True):
                 if j <= end and j - i > 1:
                     label = alike_classes(rows[i:j], least) + i
                     own = np.flatnonzero(label != np.arange(i, j)) + i
-                    a.append(fp[own])
-                    b.append(fp[label[own - i]])
-            held = [(fp[end:], value[end:], rows[end:])]
+                    a.append(key[own])
+                    b.append(key[label[own - i]])
+            held = [(key[end:], value[end:], rows[end:])]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
@@ -113,6 +146,44 @@ def alike_links(reps: DataFrame, least: float) -> DataFrame:
         if held:
             yield from ready(True)
 
-    members = shared_bands(reps).join(reps.select("fp", "signature").hint("merge"), "fp")
-    dealt = members.select("fp", "value", "signature").repartition("value").sortWithinPartitions("value", "fp")
+    members = shared_bands(reps).join(reps.select("key", "signature").hint("merge"), "key")
+    dealt = members.select("key", "value", "signature").repartition("value").sortWithinPartitions("value", "key")
     return map_arrow(dealt, run, "a long, b long")
+
+
+def confirmed_links(texts: DataFrame, classes: DataFrame, shingles: Callable[[str], np.ndarray], least: float, similarity: float) -> DataFrame:
+    """a, b: links that connect every two texts of a proposed class with a Jaccard similarity of at least `similarity`, and no others.
+
+    texts: doc_id, key, text, with repeats; classes: key, root, doc_id (of a row that has the text), signature.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple[int, np.ndarray, bytes]] = []
+        here = None
+
+        def links() -> pa.RecordBatch:
+            keys = np.array([k for k, _, _ in group], np.int64)
+            rows = np.frombuffer(b"".join(x for _, _, x in group), np.uint8).reshape(-1, HASHES)
+            label = jaccard_classes([x for _, x, _ in group], rows, least, similarity)
+            own = np.flatnonzero(label != np.arange(len(keys)))
+            return pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(keys[label[own]])], names=["a", "b"])
+
+        # rows come in order of group and key; a text may come more than once
+        for b in batches:
+            for root, low, high, key, signature, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (root, low, high) != here:
+                    if len(group) > 1:
+                        yield links()
+                    group, here = [], (root, low, high)
+                if not group or group[-1][0] != key:
+                    group.append((key, np.unique(shingles(text or "")), signature))
+        if len(group) > 1:
+            yield links()
+
+    # a class of more than BLOCK texts is dealt by pairs of its blocks
+    sizes = classes.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
+    placed = classes.join(sizes.where("n > 1"), "root", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), "n").cast("int"))
+    others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: j != F.col("own")))
+    found = texts.join(placed.withColumnRenamed("key", "__key").withColumnRenamed("doc_id", "__id").hint("merge"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    dealt = found.select("root", "own", "key", "signature", "text", F.explode(others).alias("other")).select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "signature", "text")
+    return map_arrow(dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "key"), run, "a long, b long")

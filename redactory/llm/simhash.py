@@ -20,7 +20,7 @@ is null where no member has an id); an empty table gives no rows; columns of oth
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 from math import comb
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactory.llm.arrow import map_arrow, texts_of
-from redactory.llm.shingles import alike_links, bands_of, min_hashes
+from redactory.llm.shingles import alike_links, bands_of, confirmed_links, min_hashes
 from redactory.session import materialize
 
 BITS = 64
@@ -60,21 +60,28 @@ def fingerprint(text: str, width: int) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, signed: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long); if signed, also bands and signature of the shingles. No shuffle."""
+def text_key(text_col: str):
+    """A hash of a text; null is as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keyed: bool = False, signed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long); if keyed, then key of the text; if signed, also bands and signature of the shingles. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(t, width) for t in texts_of(b.column(1))]
-            columns = [b.column(0), pa.array(np.array([majority(h) for h in hashes], "<u8").view("<i8"))]
+            columns = [b.column(0), pa.array(np.array([majority(h) for h in hashes], "<u8").view("<i8")), *b.columns[2:]]
             if signed:
                 low = [min_hashes(h) for h in hashes]
                 columns += [pa.array([bands_of(x) if len(h) else [] for x, h in zip(low, hashes, strict=True)], pa.list_(pa.int64())), pa.array([x.astype(np.uint8).tobytes() for x in low], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands", "signature"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    names = ["doc_id", "fp", *(["key"] if keyed else []), *(["bands", "signature"] if signed else [])]
     kind = docs.select(id_col).dtypes[0][1]
-    more = ", bands array<long>, signature binary" if signed else ""
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long{more}")
+    kinds = {"doc_id": kind, "fp": "long", "key": "long", "bands": "array<long>", "signature": "binary"}
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([text_key(text_col).alias("key")] if keyed else []))
+    return map_arrow(own, run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 # --- the join of a sorted forest of tries with itself
@@ -307,32 +314,45 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, group_size: int = 64, group_limit: int = 8192, alike: float | None = None) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id that is reachable).
-
-    alike: texts are also linked where at least this share of their min-hashes is equal (see redactory.llm.shingles).
-    """
-    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, signed=alike is not None), "fingerprints")
-    more = [F.min(F.struct("signature", "bands")).alias("s")] if alike is not None else []
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *more), "distinct-fingerprints")
-    k = agreeing(reps.count(), budget, group_size)
-    links = all_links(reps, budget, k, group_limit)
-    if alike is not None:
-        links = links.union(alike_links(reps.select("fp", "s.bands", "s.signature"), alike))
-    roots = components(links)
-    reps, fps = reps.select("fp", "least"), fps.select("doc_id", "fp")
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, group_size: int = 64, group_limit: int = 8192) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id that is reachable)."""
+    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = components(all_links(reps, budget, agreeing(reps.count(), budget, group_size), group_limit))
     placed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, group_size: int = 64, group_limit: int = 8192, alike: float | None = None, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each class: the one with the least id, and of rows with that id the first by its values.
 
     Rows with a null id are kept only where their class has no id at all, one of each text's fingerprint class.
+
+    alike: if set, SimHash links and texts of which at least this share of min-hashes is equal are only proposed, and the classes are those
+    of texts with a Jaccard similarity of shingles of at least `similarity` (see redactory.llm.shingles).
     """
-    classes = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
+    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, keyed=True, signed=alike is not None), "fingerprints")
+    more = [F.min(F.struct("signature", "bands")).alias("s")] if alike is not None else []
+    # ids in order, null last
+    texts = materialize(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), *more), "distinct-texts")
+    prints = materialize(texts.groupBy("fp").agg(F.min("key").alias("first")), "distinct-fingerprints")
+    links = all_links(prints, budget, agreeing(prints.count(), budget, group_size), group_limit)
+    # from fingerprints to the texts that have them
+    first_of = lambda end: prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
+    links = links.join(first_of("a"), "a").join(first_of("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    links = links.union(texts.join(prints, "fp").where(F.col("key") != F.col("first")).select(F.col("key").alias("a"), F.col("first").alias("b")))
+    if alike is not None:
+        links = links.union(alike_links(texts.select("key", "s.bands", "s.signature"), alike))
+    roots = components(links)
+    if alike is not None:
+        own = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+        proposed = roots.withColumnRenamed("node", "key").join(texts.select("key", F.col("least.doc_id").alias("doc_id"), "s.signature"), "key")
+        roots = components(confirmed_links(own, proposed, partial(shingle_hashes, width=width), alike, similarity))
+    placed = texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = placed.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    classes = rows.select("doc_id", "key").join(placed.select("key", "root").join(least, "root").select("key", "component_id"), "key")
     kept = materialize(classes.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).groupBy(F.col("doc_id").alias("__id")).count(), "kept-ids")
     match = docs[id_col].eqNullSafe(F.col("__id"))
     # both sides grow with the documents: they are always merged, never broadcast

@@ -265,6 +265,46 @@ def test_alike_texts_are_linked(spark):
     assert alike_classes(rows, 0.6).tolist() == [4 * g for g in range(25) for _ in range(4)]
 
 
+def test_near_dedup_links_by_exact_similarity(spark):
+    from redactory.llm.simhash import near_dedup
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    sets, texts = [], []
+    for g in range(120):  # pairs from 0.68 to 0.9
+        own = [word() for _ in range(204)]
+        changed = list(own)
+        for i in range(2 + g % 7):
+            changed[10 + 20 * i] = word()
+        for words in (own, changed):
+            texts.append(" ".join(words))
+            sets.append({tuple(words[i : i + 5]) for i in range(200)})
+    alike = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 20 < sum(alike) < 100
+    kept = {r.doc_id for r in near_dedup(documents(spark, texts), width=5, alike=0.6, similarity=0.8).collect()}
+    assert kept == {2 * g + k for g in range(120) for k in (0, 1) if not (k and alike[g])}
+
+
+def test_jaccard_classes_follow_chains_in_blocks(spark, monkeypatch):
+    from functools import partial
+
+    from redactory.llm import shingles
+    from redactory.llm.simhash import shingle_hashes
+
+    monkeypatch.setattr(shingles, "BLOCK", 4)
+    texts = [" ".join(f"w{i}" for i in range(4 * k, 4 * k + 60)) for k in range(20)]  # each is alike to its neighbours only
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, key long, text string")
+    low = [shingles.min_hashes(shingle_hashes(t, 5)).astype(np.uint8).tobytes() for t in texts]
+    classes = spark.createDataFrame([(i, 0, i, bytearray(x)) for i, x in enumerate(low)], "key long, root long, doc_id long, signature binary")
+    links = shingles.confirmed_links(rows, classes, partial(shingle_hashes, width=5), 0.5, 0.8).collect()
+    reach = list(range(20))
+    for _ in range(20):
+        for a, b in links:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    assert set(reach) == {0}
+    assert not shingles.confirmed_links(rows, classes, partial(shingle_hashes, width=5), 0.5, 0.95).count()
+
+
 # --- 5: pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body class="page with-sidebar">

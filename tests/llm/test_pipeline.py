@@ -39,6 +39,22 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     assert 0 < len(rows) < docs.count()
 
 
+def test_near_dedup_stage_equals_exact_jaccard(spark, sf_dir):
+    import corpus_pipeline
+    from redactory.llm.simhash import shingle_hashes
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets, label = [set(shingle_hashes(t or "", 5).tolist()) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+                least, most = sorted((label[i], label[j]))
+                label = [least if x == most else x for x in label]
+    got = sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir).collect())
+    assert got == [i for k, (i, _) in enumerate(rows) if label[k] == k] and len(got) < len(rows)
+
+
 def test_stages_keep_the_columns_of_documents(spark, sf_dir):
     import corpus_pipeline
 
