@@ -326,9 +326,9 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, group_size: int = 64, group_limit: int = 8192, alike: float | None = None, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each class: the one with the least id, and of rows with that id the first by its values.
+    """docs with one document of each class: the one with the least id, null last, and of that id the least hash of a text; of rows with both alike any.
 
-    Rows with a null id are kept only where their class has no id at all, one of each text's fingerprint class.
+    Rows are told apart by id and text, so rows without an id or with a shared one are lost only to a row of their own class.
 
     alike: if set, SimHash links and texts of which at least this share of min-hashes is equal are only proposed, and the classes are those
     of texts with a Jaccard similarity of shingles of at least `similarity` (see redactory.llm.shingles).
@@ -351,13 +351,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         proposed = roots.withColumnRenamed("node", "key").join(texts.select("key", F.col("least.doc_id").alias("doc_id"), "s.signature"), "key")
         roots = components(confirmed_links(own, proposed, partial(shingle_hashes, width=width), alike, similarity))
     placed = texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = placed.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
-    classes = rows.select("doc_id", "key").join(placed.select("key", "root").join(least, "root").select("key", "component_id"), "key")
-    kept = materialize(classes.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).groupBy(F.col("doc_id").alias("__id")).count(), "kept-ids")
-    match = docs[id_col].eqNullSafe(F.col("__id"))
+    named = placed.groupBy("root").agg(F.min(F.struct("least", "key")).alias("l")).select(F.col("l.least.doc_id").alias("__id"), F.col("l.key").alias("__key"))
+    times = rows.groupBy("key", "doc_id").count().where("count > 1")
+    kept = materialize(named.join(times, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("__id", "__key", F.col("count").isNotNull().alias("__several")), "kept-texts")
+    keyed = docs.withColumn("__own", text_key(text_col))
+    match = keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
     # both sides grow with the documents: they are always merged, never broadcast
-    out = docs.join(kept.where(F.col("count") == 1).select("__id").hint("merge"), match).drop("__id")
-    several = kept.where(F.col("count") > 1).select("__id")
-    if several.limit(1).count():  # rows that share an id: only these are shuffled once more
-        out = out.union(docs.join(several, match).drop("__id").dropDuplicates([id_col]))
+    out = keyed.join(kept.where(~F.col("__several")).hint("merge"), match).select(*(docs.columns))
+    several = kept.where("__several")
+    if several.limit(1).count():  # rows that share an id and a text: only these are shuffled once more
+        out = out.union(keyed.join(several, match).dropDuplicates([id_col, "__own"]).select(*docs.columns))
     return out

@@ -305,6 +305,16 @@ def test_jaccard_classes_follow_chains_in_blocks(spark, monkeypatch):
     assert not shingles.confirmed_links(rows, classes, partial(shingle_hashes, width=5), 0.5, 0.95).count()
 
 
+def test_near_dedup_keeps_texts_without_ids(spark):
+    from redactory.llm.simhash import near_dedup
+
+    rows = [(None, "one own text"), (None, "another one here"), (None, "another one here"), (None, "of a document with id"), (7, "of a document with id"), (8, "first of a shared id"), (8, "second of it, quite unlike"), (8, "second of it, quite unlike"), (9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"width": 5, "alike": 0.6}):
+        got = sorted(((r.doc_id, r.text) for r in near_dedup(df, **options).collect()), key=str)
+        assert got == sorted({r for r in rows if r != (None, "of a document with id")}, key=str)
+
+
 # --- 5: pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body class="page with-sidebar">
