@@ -10,7 +10,7 @@ the least seeded hash, as counts of subwords (BUCKETS numbers each). What reache
 The model is buckets * languages numbers when it predicts: the layer is applied to the embedding table beforehand.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with no labelled rows everything is `und`; ties go to the
-language that sorts first; languages are any values of the label column; repeated rows are learned as often as they are sampled;
+language that sorts first; languages are any values of the label column; copies of a text are learned once in each language;
 columns of other names are ignored.
 """
 
@@ -152,7 +152,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str], *, width:
 def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, seed: int = 5) -> Model | None:
     """Fits a model to a bounded sample of rows with a text and a label; None if there are none.
 
-    The sample of a language is taken in each partition first, so no task holds more than a language's bound per partition.
+    The sample is of distinct texts, those of the least hashes. It is taken in each partition first (Spark puts the limit of a rank before
+    the shuffle), so no task holds more than a language's bound per partition.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()  # most_languages rows at most
@@ -160,10 +161,7 @@ def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
         return None
     languages = sorted(r.lang for r in known)
     per_language = max(1, min(per_language, MOST_ROWS // len(languages)))
-    # a hash below each language's share leaves about twice the bound, whatever the table's size
-    share = F.create_map(*(F.lit(x) for r in known for x in (r.lang, min(1.0, 2.0 * per_language / r["count"]))))
-    rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
-    near = rows.where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share[F.col("lang")])
+    near = rows.where(F.col("lang").isin(languages)).withColumn("h", F.xxhash64("text", F.lit(seed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,9 +169,12 @@ def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
             packed = [c.astype("<u4").tobytes() for c in counts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["lang", "h", "counts"])
 
-    first = Window.partitionBy("lang").orderBy("h")
+    # unsigned order: the sign bit is turned
+    first = Window.partitionBy("lang").orderBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
     picked = near.select("lang", "h").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("lang", "h")
     sample = map_arrow(near.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", "text").dropDuplicates(["lang", "h"]), run, "lang string, h long, counts binary").orderBy("lang", "h").collect()
+    if not sample:
+        return None
     index = {x: i for i, x in enumerate(languages)}
     labels = np.array([index[r.lang] for r in sample])
     counts = np.array([np.frombuffer(r.counts, "<u4") for r in sample], np.float32)

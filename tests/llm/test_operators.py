@@ -508,6 +508,17 @@ def test_language(spark, sf_dir):
     assert identify(documents(spark, ["x"]).select("doc_id", "text"), None).first().lang_pred == "und"
 
 
+def test_language_of_copies_is_learned(spark):
+    from redactory.llm.langid import identify, learn
+
+    own, other = ["kala meri tuuli ranta aalto", "ranta kivi tuuli meri", "meri aalto kala kivi"], ["the stone by the water", "wind over the water and sand", "a fish by the shore"]
+    rows = [(own[i % 3], "fi") for i in range(5000)] + [(t, "en") for t in other]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = learn(df, per_language=20)
+    assert all(r.lang_pred == r.lang for r in identify(df.distinct(), model).collect())
+    assert learn(df.where("lang = 'fi'").where(F.col("text") == own[0]), per_language=20).languages == ["fi"]
+
+
 # --- 10: language model
 
 
