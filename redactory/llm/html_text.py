@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page is read once into a tree: comments, declarations, scripts, styles and the like carry no text, unclosed and stray tags are mended
-as browsers do (a block closes an open paragraph, an item the item before it). Elements that are boilerplate by their tag, role or a
+as browsers do (a block closes an open paragraph, an item the item before it, whatever can't stand in the head closes an open head). Elements that are boilerplate by their tag, role or a
 word of their class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut off. In the rest each element
 has a density, its characters per tag, adjusted by the share of characters and tags in links:
 
@@ -34,6 +34,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements without text of the page; the content of the first ones is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 SILENT = RAW | frozenset("head noscript template svg math canvas audio video object applet map datalist select option button input".split())
+#: Elements that may stand in a head; every other one closes it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset label".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id values that name boilerplate.
@@ -89,9 +91,13 @@ def parse(page: str) -> Node:
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
+            if node.tag == "head" and page[at:].strip():
+                node = out_of_head(node)
             node.parts.append(page[at:])
             break
         if lt > at:
+            if node.tag == "head" and page[at:lt].strip():
+                node = out_of_head(node)
             node.parts.append(page[at:lt])
         c = page[lt + 1 : lt + 2]
         if c == "!" or c == "?":
@@ -146,6 +152,8 @@ def parse(page: str) -> Node:
                 node.parts.append(Node("p", node))
             continue
         attributes = page[m.end() : end]
+        if tag not in IN_HEAD:
+            node = out_of_head(node)
         if tag in P_CLOSERS and node.in_p:
             while node.tag != "p":
                 node = node.parent
@@ -178,6 +186,12 @@ def parse(page: str) -> Node:
     return root
 
 
+def out_of_head(node: Node) -> Node:
+    """The element around an open head, or the node itself where it isn't a head or a noscript in it."""
+    head = node.parent if node.tag == "noscript" and node.parent.tag == "head" else node
+    return head.parent if head.tag == "head" else node
+
+
 def above(node: Node) -> Iterator[Node]:
     while node is not None:
         yield node

@@ -345,6 +345,22 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>One two three.<p>Four.</body></html>", "One two three.\nFour."),
+        ("<!DOCTYPE html><head><title>t</title><link rel=x><p>One two three.<p>Four.", "One two three.\nFour."),
+        ("<html><head><style>p{}</style><noscript><link rel=y></noscript><script>var x</script>Bare text", "Bare text"),
+        ("<head><title>t</title><noscript><img src=x></noscript><body><div>One two three.</div>", "One two three."),
+        ("<head><title>t</title><template><p>not this</p></template></head><body><div>One two three.</div>", "One two three."),
+    ],
+)
+def test_main_text_of_an_open_head(page, text):
+    from redactory.llm.html_text import main_text
+
+    assert main_text(page) == text
+
+
 def test_pages(spark, sf_dir):
     from redactory.llm.html_text import extract_text, main_text
 
