@@ -2,7 +2,9 @@
 
 A page is read once into a tree: comments, declarations, scripts, styles and the like carry no text, unclosed and stray tags are mended
 as browsers do (a block closes an open paragraph, an item the item before it, whatever can't stand in the head closes an open head). Elements that are boilerplate by their tag, role or a
-word of their class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut off. In the rest each element
+word of their class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut off. A word behind has-, no-,
+with- or the like says nothing of its element. By a word alone no article is cut and, unless an article or main element with text stands
+elsewhere, no element that holds one or has over half of the body's text. In the rest each element
 has a density, its characters per tag, adjusted by the share of characters and tags in links:
 
     C / T * log(C / LC * T / LT) to the base ln(C / (C - LC) * LC + LCb / Cb * C + e)
@@ -43,6 +45,10 @@ BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar side rail aside widget related recommended "
     "comment comments commentlist disqus respond replies cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social pagination pager toc copyright legal disclaimer skip search".split()
 )
+#: What follows these in a class or id value names no part of the element itself.
+MODIFIERS = frozenset("has have no not non with without hide hides".split())
+#: Elements that a page names as its content.
+CONTENT = frozenset("article main".split())
 #: Elements that are parts of a line; every other one starts and ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag closes these if one is open, looking no further up than the bounds.
@@ -58,29 +64,43 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "in_p", "chars", "link_chars", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "in_p", "chars", "link_chars", "tags", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
+        #: Whether it is boilerplate by a word of its class or id only.
+        self.named = named
         self.parts: list[Node | str] = []
         #: Whether a paragraph is open here that a block would close.
         self.in_p = tag == "p" or (parent is not None and parent.in_p and tag not in BUTTON_SCOPE)
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
+def names_boilerplate(value: str) -> bool:
+    """Whether a class or id value has a word of boilerplate that isn't behind a modifier."""
+    for part in value.split():
+        for w in _WORD.findall(_CAMEL.sub(" ", part)):
+            if w.lower() in MODIFIERS:
+                break
+            if w.lower() in BOILERPLATE_WORDS:
+                return True
+    return False
+
+
+def boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its tag, role or hiding, and whether it is by a word of its class or id."""
     if tag in BOILERPLATE_TAGS:
-        return True
+        return True, False
+    named = False
     if not attributes:
-        return False
+        return False, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main") and any(w.lower() in BOILERPLATE_WORDS for w in _WORD.findall(_CAMEL.sub(" ", value))):
-            return True
-    return False
+            return True, False
+        named = named or name in ("class", "id") and tag not in ("html", "body", "main", "article") and names_boilerplate(value)
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -167,7 +187,8 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        child = Node(tag, node, tag in SILENT or is_boilerplate(tag, attributes))
+        sure, named = (True, False) if tag in SILENT else boilerplate(tag, attributes)
+        child = Node(tag, node, sure or named, named)
         if tag in ("html", "body") and any(x.tag == tag for x in above(node)):
             continue
         node.parts.append(child)
@@ -183,9 +204,43 @@ def parse(page: str) -> Node:
             continue
         if not attributes.endswith("/") or tag not in ("svg", "math", "path"):
             node = child
+    spare(root)
     return root
 
 
+def spare(root: Node) -> None:
+    """Takes the cut from elements that are boilerplate by name only but hold the page's content."""
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack += [p for p in reversed(node.parts) if type(p) is Node and (p.named or not p.cut)]
+    if not any(x.named for x in nodes):
+        return
+    #: Characters of a subtree; whether it holds content at all, and outside of elements that are cut.
+    held: dict[Node, tuple[int, bool, bool]] = {}
+    for node in reversed(nodes):
+        chars, any_content, content = 0, False, False
+        for p in node.parts:
+            if type(p) is str:
+                chars += len(p) - p.count(" ") - p.count("\n")
+            elif p in held:
+                more, any_there, there = held[p]
+                chars, any_content, content = chars + more, any_content or any_there, content or there and not p.named
+        own = node.tag in CONTENT and chars > 0
+        held[node] = chars, any_content or own, content or own
+    most, found = held[root][0], held[root][2]
+    stack = [root]
+    while stack:  # parents first
+        node = stack.pop()
+        if node.named:
+            chars, any_content, content = held[node]
+            if found or not (any_content or 2 * chars > most):
+                continue
+            node.cut, found = False, content
+        stack += [p for p in reversed(node.parts) if type(p) is Node and p in held]
+
+
 def out_of_head(node: Node) -> Node:
     """The element around an open head, or the node itself where it isn't a head or a noscript in it."""
     head = node.parent if node.tag == "noscript" and node.parent.tag == "head" else node

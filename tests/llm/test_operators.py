@@ -361,6 +361,24 @@ def test_main_text_of_an_open_head(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div class='content has-sidebar'><p>One two three.</p><p>Four.</p></div></body>", "One two three.\nFour."),
+        ("<body><div id='page' class='no-sidebar'><p>One two three.</p></div></body>", "One two three."),
+        ("<body><article class='post share-enabled'><p>One two three.</p></article></body>", "One two three."),
+        ("<body><div class='page related-layout'><div class='ad'>Buy</div><p>One two three four.</p><p>Five six seven.</p></div></body>", "One two three four.\nFive six seven."),
+        # the wrapper of an article is kept, the part with the comments is not, though it is longer
+        ("<body><div class='widget-area'><article><p>One two.</p></article><div id='comments'><article><p>A comment that is longer than the article.</p></article></div></div></body>", "One two."),
+        ("<body><article><p>One two.</p></article><div class='sidebar'><p>A list of other things, longer than the article.</p></div></body>", "One two."),
+    ],
+)
+def test_main_text_in_named_wrappers(page, text):
+    from redactory.llm.html_text import main_text
+
+    assert main_text(page) == text
+
+
 def test_pages(spark, sf_dir):
     from redactory.llm.html_text import extract_text, main_text
 
