@@ -137,11 +137,15 @@ _RUN = re.compile("[a-z0-9_./@-]+")
 
 def may_hold_credentials(text: str) -> bool:
     """Whether any run of a text stands for a keyword: if not, there is nothing to find."""
-    return any(keywords_in(t) for t in set(_RUN.findall(text.lower())) if len(t) <= 60)
+    return any(keywords_in(t) for t in set(_RUN.findall(text.lower())))
 
 
-@lru_cache(maxsize=200_000)
 def keywords_in(token: str) -> frozenset[str]:
+    """The keywords that a token (in lower case) stands for. Tokens of any length count; long ones, which hardly repeat, aren't remembered."""
+    return _remembered(token) if len(token) <= 60 else _keywords_in(token)
+
+
+def _keywords_in(token: str) -> frozenset[str]:
     """The keywords that a token (in lower case) stands for: itself, a part between underscores, its singular, or a long one misspelt."""
     own = strip_quotes(token)
     found = _EXACT.intersection((own, own.removesuffix("s"), *(own.split("_") if "_" in own else ())))
@@ -152,13 +156,16 @@ def keywords_in(token: str) -> frozenset[str]:
     return found
 
 
+_remembered = lru_cache(maxsize=200_000)(_keywords_in)
+
+
 def credentials(text: str) -> tuple[list[Found], list[tuple[str, str]]]:
     """Spans of values near keywords, and the keywords seen (rule id, label) in order, with or without a value.
 
     Longer phrases come first at each place, and a token is part of one phrase only. The value is the first that fits in the window.
     """
     tokens = proximity_tokens(text)
-    stands_for = [keywords_in(t.lower()) if len(t) <= 60 else frozenset() for t, _, _ in tokens]
+    stands_for = [keywords_in(t.lower()) for t, _, _ in tokens]
     found, seen, used = [], [], set()
     for i, here in enumerate(stands_for):
         if not here:

@@ -115,3 +115,11 @@ def test_comments():
     assert [code[a:b] for a, b in comment_ranges(code, "go")] == ["// one", "/* two\n */"]
     assert language_of("src/app.tsx") == "tsx" and language_of("csharp") == "c_sharp" and language_of("notes") is None
     assert comment_ranges("# x" * 300_000, "yaml") == []
+
+
+@pytest.mark.parametrize("name", ["corp_payments_production_cluster_primary_region_readwrite_database_password", "https://config.corp/" + "a" * 60 + "_password_file", '"' + "x" * 70 + '_password"'])
+def test_long_names_are_keywords(name):
+    assert len(name) > 60
+    spans, seen = credentials(f"{name} is hunter2isnotsecure")
+    assert [x[4] for x in spans] == ["hunter2isnotsecure"] and [x[0] for x in seen] == ["proximity-password"]
+    assert [x[4] for x in contextual_spans(f"{name} is hunter2isnotsecure")[0] if x[0] == "proximity-password"] == ["hunter2isnotsecure"]
