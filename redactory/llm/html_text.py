@@ -1,22 +1,27 @@
 """Main text of web pages by composite text density.
 
 A page is read once into a tree: comments, declarations, scripts, styles and the like carry no text, unclosed and stray tags are mended
-as browsers do (a block closes an open paragraph, an item the item before it, whatever can't stand in the head closes an open head). Elements that are boilerplate by their tag, role or a
-word of their class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut off. A word behind has-, no-,
-with- or the like says nothing of its element. By a word alone no article is cut and, unless an article or main element with text stands
-elsewhere, no element that holds one or has over half of the body's text. In the rest each element
-has a density, its characters per tag, adjusted by the share of characters and tags in links:
+as browsers do (a block closes an open paragraph, an item the item before it, whatever can't stand in the head closes an open head).
+Elements whose tag, role or hiding says that they aren't the article (nav, header, footer, aside, form and the like) are cut off; a header
+inside an article, section or main element belongs to it.
+
+Every element has a density, its characters per tag, adjusted by the share of characters and tags in links:
 
     C / T * log(C / LC * T / LT) to the base ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
-with C, T characters and tags of the subtree, LC, LT those in links (each 1 at least), Cb, LCb those of the body. The sum of the
-children's densities selects the subtree: among the elements whose density is no less than the least density on the path from the body
-to the element of the largest sum, the one of the largest sum. An article or main element around it, or one that holds most of its
-text, takes its place. All blocks of the selected subtree are returned; none is dropped for being short.
+with C, T characters and tags of the subtree, LC, LT those in links (each 1 at least), Cb, LCb those of the body. Tags are those that make
+blocks, and links; the marks of a line (b, i, span, br) are no structure. A density sum adds up the densities of an element's blocks and
+of its own lines. Class and id values weigh: characters in an element that is named as an advert, notice, menu of the site, sidebar or
+reader comments count 1/WEIGHT, whatever holds it.
+
+The element of the largest density sum is where the text is. From there the selection grows towards the body: a parent takes its place
+as long as what the parent adds has at least SHARE of the threshold, the least density on the path from the body to that element; an
+article element is not left. In the selected subtree an element named as above goes if its weighed density is below the threshold, and so
+does a group of several links without other text; all other blocks are returned, however short.
 
 Defined cases: a null or empty page, a page without tags (its text is one block) and one that ends inside a tag, comment or script;
 character references of any form; a page that is all boilerplate has an empty text; nesting of any depth; repeated rows are extracted
-separately; columns of other names are ignored.
+separately; columns of other names are ignored. Reading takes time in proportion to the page (times the logarithm of its depth).
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,15 +46,19 @@ SILENT = RAW | frozenset("head noscript template svg math canvas audio video obj
 IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset label".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id values that name boilerplate.
+#: Elements whose header is their own.
+SECTIONS = frozenset("article main section".split())
+#: Words of class and id values that name what isn't the article. A value counts if all its words are among these and LAYOUT.
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar side rail aside widget related recommended "
-    "comment comments commentlist disqus respond replies cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social pagination pager toc copyright legal disclaimer skip search".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation breadcrumb breadcrumbs masthead topbar footer bottombar sidebar sidebars related recommended "
+    "comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login sharing social pagination pager".split()
 )
-#: What follows these in a class or id value names no part of the element itself.
-MODIFIERS = frozenset("has have no not non with without hide hides".split())
-#: Elements that a page names as its content.
-CONTENT = frozenset("article main".split())
+#: Words beside them that name nothing.
+LAYOUT = frozenset("area bar block bottom box btn button banner center container content fixed hidden inner item items left links list main menu mobile module outer panel posts primary right row secondary section site slot small sticky thread top unit wide widget wrap wrapper large page skyscraper".split())
+#: Elements that are menus if all their text is in links.
+GROUPS = frozenset("ul ol dl div section table".split())
+#: Characters in an element so named count this part, and growing takes this share of the threshold.
+WEIGHT, SHARE = 50.0, 0.3
 #: Elements that are parts of a line; every other one starts and ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag closes these if one is open, looking no further up than the bounds.
@@ -64,30 +74,26 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "named", "in_p", "chars", "link_chars", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "chars", "link_chars", "tags", "link_tags", "weight", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
-        #: Whether it is boilerplate by a word of its class or id only.
+        #: Whether its class or id names something else than the article.
         self.named = named
         self.parts: list[Node | str] = []
-        #: Whether a paragraph is open here that a block would close.
-        self.in_p = tag == "p" or (parent is not None and parent.in_p and tag not in BUTTON_SCOPE)
 
 
 def names_boilerplate(value: str) -> bool:
-    """Whether a class or id value has a word of boilerplate that isn't behind a modifier."""
+    """Whether one of the names in a class or id value consists of words of boilerplate and of layout, the first kind at least once."""
     for part in value.split():
-        for w in _WORD.findall(_CAMEL.sub(" ", part)):
-            if w.lower() in MODIFIERS:
-                break
-            if w.lower() in BOILERPLATE_WORDS:
-                return True
+        words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", part))]
+        if not BOILERPLATE_WORDS.isdisjoint(words) and all(w in BOILERPLATE_WORDS or w in LAYOUT for w in words):
+            return True
     return False
 
 
 def boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its tag, role or hiding, and whether it is by a word of its class or id."""
+    """Whether an element is cut for its tag, role or hiding, and whether its class or id names it as something else than the article."""
     if tag in BOILERPLATE_TAGS:
         return True, False
     named = False
@@ -103,22 +109,55 @@ def boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
     return False, named
 
 
+class Open:
+    """The open elements from the root to the one that is being read, with the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.path, self.places = [root], {}
+
+    @property
+    def node(self) -> Node:
+        return self.path[-1]
+
+    def last(self, tags) -> int:
+        """The innermost place of any of some tags; -1 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.path) > place:
+            self.places[self.path.pop().tag].pop()
+
+    def leave_head(self) -> None:
+        """Closes an open head, if nothing but a noscript is open in it."""
+        depth = len(self.path) - (self.node.tag == "noscript")
+        if depth > 1 and self.path[depth - 1].tag == "head":
+            self.close(depth - 1)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; a root node stands above all. Each character is passed over a bounded number of times."""
-    root = node = Node("#root", None)
+    """The tree of a page; a root node stands above all."""
+    root = Node("#root", None)
+    open_ = Open(root)
     at, n = 0, len(page)
     no_more: dict[str, bool] = {}  # quotes and marks that don't come again
+
+    def text(piece: str) -> None:
+        if open_.node.tag == "head" and piece.strip():
+            open_.leave_head()
+        open_.node.parts.append(piece)
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            if node.tag == "head" and page[at:].strip():
-                node = out_of_head(node)
-            node.parts.append(page[at:])
+            text(page[at:])
             break
         if lt > at:
-            if node.tag == "head" and page[at:lt].strip():
-                node = out_of_head(node)
-            node.parts.append(page[at:lt])
+            text(page[at:lt])
         c = page[lt + 1 : lt + 2]
         if c == "!" or c == "?":
             if page.startswith("<!--", lt):
@@ -135,7 +174,7 @@ def parse(page: str) -> Node:
                 end = page.find(">", lt)
                 at = n if end < 0 else end + 1
             else:
-                node.parts.append("<")
+                open_.node.parts.append("<")
                 at = lt + 1
             continue
         tag, end = m[0].lower(), m.end()
@@ -161,36 +200,30 @@ def parse(page: str) -> Node:
             break
         if closing:
             if tag == "br":
-                node.parts.append(Node("br", node))
-                continue
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+                open_.node.parts.append(Node("br", open_.node))
+            elif (place := open_.last((tag,))) >= 0:
+                open_.close(place)
             elif tag == "p":
-                node.parts.append(Node("p", node))
+                open_.node.parts.append(Node("p", open_.node))
             continue
         attributes = page[m.end() : end]
         if tag not in IN_HEAD:
-            node = out_of_head(node)
-        if tag in P_CLOSERS and node.in_p:
-            while node.tag != "p":
-                node = node.parent
-            node = node.parent
+            open_.leave_head()
+        if tag in P_CLOSERS and (place := open_.last(("p",))) > open_.last(BUTTON_SCOPE):
+            open_.close(place)
         if tag in CLOSES:
             closes, bounds = CLOSES[tag]
-            up, last = node, None
-            while up.parent is not None and up.tag not in bounds:
-                if up.tag in closes:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        sure, named = (True, False) if tag in SILENT else boilerplate(tag, attributes)
-        child = Node(tag, node, sure or named, named)
-        if tag in ("html", "body") and any(x.tag == tag for x in above(node)):
+            bound = open_.last(bounds)
+            first = [p[i] for t in closes if (p := open_.places.get(t)) and (i := bisect_right(p, bound)) < len(p)]
+            if first:
+                open_.close(min(first))
+        if tag in ("html", "body") and open_.last((tag,)) >= 0:
             continue
+        node = open_.node
+        sure, named = (True, False) if tag in SILENT else boilerplate(tag, attributes)
+        if tag == "header" and open_.last(SECTIONS) >= 0:
+            sure = False
+        child = Node(tag, node, sure, named)
         node.parts.append(child)
         if tag in VOID:
             continue
@@ -203,51 +236,11 @@ def parse(page: str) -> Node:
             at = n if close < 0 else close + 1
             continue
         if not attributes.endswith("/") or tag not in ("svg", "math", "path"):
-            node = child
-    spare(root)
+            open_.push(child)
     return root
 
 
-def spare(root: Node) -> None:
-    """Takes the cut from elements that are boilerplate by name only but hold the page's content."""
-    nodes, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        nodes.append(node)
-        stack += [p for p in reversed(node.parts) if type(p) is Node and (p.named or not p.cut)]
-    if not any(x.named for x in nodes):
-        return
-    #: Characters of a subtree; whether it holds content at all, and outside of elements that are cut.
-    held: dict[Node, tuple[int, bool, bool]] = {}
-    for node in reversed(nodes):
-        chars, any_content, content = 0, False, False
-        for p in node.parts:
-            if type(p) is str:
-                chars += len(p) - p.count(" ") - p.count("\n")
-            elif p in held:
-                more, any_there, there = held[p]
-                chars, any_content, content = chars + more, any_content or any_there, content or there and not p.named
-        own = node.tag in CONTENT and chars > 0
-        held[node] = chars, any_content or own, content or own
-    most, found = held[root][0], held[root][2]
-    stack = [root]
-    while stack:  # parents first
-        node = stack.pop()
-        if node.named:
-            chars, any_content, content = held[node]
-            if found or not (any_content or 2 * chars > most):
-                continue
-            node.cut, found = False, content
-        stack += [p for p in reversed(node.parts) if type(p) is Node and p in held]
-
-
-def out_of_head(node: Node) -> Node:
-    """The element around an open head, or the node itself where it isn't a head or a noscript in it."""
-    head = node.parent if node.tag == "noscript" and node.parent.tag == "head" else node
-    return head.parent if head.tag == "head" else node
-
-
-def above(node: Node) -> Iterator[Node]:
+def above(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node
         node = node.parent
@@ -263,62 +256,69 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
+def density(chars: float, tags: int, link_chars: float, link_tags: int, share: float) -> float:
+    """Composite text density; share is the body's characters in links over all of them."""
+    if chars <= 0:
+        return 0.0
+    c, t, lc, lt = chars, max(1, tags), max(1.0, link_chars), max(1, link_tags)
+    base = math.log(c / max(1.0, c - link_chars) * link_chars + share * c + math.e)
+    # the base is 1 where there are no links at all: then density is characters per tag
+    return c / t * (math.log(max(1.0, c / lc * t / lt)) / math.log(base) if base > 1.0001 else 1.0)
+
+
+def measure(root: Node) -> tuple[list[Node], Node, float]:
+    """Elements that aren't cut with their density and density sum; the body; its share of characters in links."""
     nodes = in_order(root)
+    for node in nodes:
+        node.weight = 1 / WEIGHT if node.named else 1.0 if node.parent is None else node.parent.weight
     for node in reversed(nodes):
-        link = node.tag == "a"
-        chars = link_chars = tags = link_tags = 0
+        chars = link_chars = 0.0
+        tags = link_tags = 0
         for p in node.parts:
             if type(p) is str:
-                chars += len(p) - p.count(" ") - p.count("\n")
+                chars += (len(p) - p.count(" ") - p.count("\n")) * node.weight
             elif not p.cut:
-                chars, tags, link_chars, link_tags = chars + p.chars, tags + p.tags + 1, link_chars + p.link_chars, link_tags + p.link_tags + (p.tag == "a")
-        if link:
+                chars, link_chars, link_tags = chars + p.chars, link_chars + p.link_chars, link_tags + p.link_tags + (p.tag == "a")
+                tags += p.tags + (p.tag == "a" or not (p.tag in INLINE or p.tag in VOID))
+        if node.tag == "a":
             link_chars, link_tags = chars, tags
         node.chars, node.link_chars, node.tags, node.link_tags = chars, link_chars, tags, link_tags
     body = next((x for x in nodes if x.tag == "body"), root)
-    share = body.link_chars / max(1, body.chars)
-    for node in nodes:
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if not c:
-            node.density = 0.0
-            continue
-        base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
-        ratio = max(1.0, c / lc * t / lt)
-        # the base is 1 where there are no links at all: then density is characters per tag
-        node.density = c / t * (math.log(ratio) / math.log(base) if base > 1.0001 else 1.0)
-    for node in nodes:
-        node.sum = sum(p.density for p in node.parts if type(p) is Node and not p.cut)
-    return nodes
+    share = body.link_chars / max(1.0, body.chars)
+    for node in reversed(nodes):
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        # the densities of blocks and, together, of lines beside them; a mark of a line passes on the blocks in it
+        total, chars, link_chars, tags, link_tags = 0.0, 0.0, 0.0, 0, 0
+        for p in node.parts:
+            if type(p) is str:
+                chars += (len(p) - p.count(" ") - p.count("\n")) * node.weight
+            elif not p.cut and p.tag in INLINE:
+                chars, link_chars, tags, link_tags = chars + p.chars, link_chars + p.link_chars, tags + p.tags + (p.tag == "a"), link_tags + p.link_tags + (p.tag == "a")
+            elif not p.cut:
+                total += p.density
+        node.sum = total + density(chars, tags, link_chars, link_tags, share)
+    return nodes, body, share
 
 
-def select(root: Node) -> Node | None:
-    """The element of the main text, or None if no text is left."""
-    nodes = measure(root)
-    body = next((x for x in nodes if x.tag == "body"), root)
-    inside = [x for x in in_order(body) if x.chars]
+def select(root: Node) -> tuple[Node, float] | None:
+    """The element of the main text and the threshold of its page, or None if no text is left."""
+    _, body, share = measure(root)
+    inside = [x for x in in_order(body) if x.chars and x.tag not in INLINE]
     if not inside:
         return None
-    largest = max(inside, key=lambda x: x.sum)
-    threshold = min(x.density for x in above(largest) if x is body or x.parent is not None)
-    best = max((x for x in inside if x.density >= threshold), key=lambda x: x.sum)
-    if best.sum <= 0:
-        best = body  # text without elements
-    roots = [x for x in above(best) if x.tag in ("article", "main")]
-    if roots:
-        return roots[-1]
-    held = [x for x in in_order(best) if x.tag in ("article", "main") and 2 * x.chars > best.chars]
-    if held:
-        return held[0]
-    # a part of a line, or a lone child that holds nearly all, stands for the block around it
-    while best.tag in INLINE and best.parent is not None and best.parent.tag != "#root":
-        best = best.parent
-    while best is not body and best.parent is not None and best.parent is not body and best.parent.tag != "#root" and best.chars * 10 >= best.parent.chars * 5:
-        best = best.parent
-    return best
-
-
-def blocks(node: Node) -> list[str]:
+    best = max(inside, key=lambda x: x.sum)  # of equal ones the outermost
+    threshold = min(x.density for x in above(best) if x is body or x.parent is not None)
+    while best is not body and best.parent is not None and best.tag != "article":
+        up = best.parent
+        more = density(up.chars - best.chars, up.tags - best.tags - 1, up.link_chars - best.link_chars, up.link_tags - best.link_tags, share)
+        if more and more < SHARE * threshold:
+            break
+        best = up
+    return best, threshold
+
+
+def blocks(node: Node, threshold: float) -> list[str]:
+    """The blocks of a subtree, without what is cut, menus, and what is named as something else and less dense than the threshold."""
     out, line = [], []
 
     def flush() -> None:
@@ -333,7 +333,7 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif type(x) is str:
             line.append(x)
-        elif x.cut and x is not node:
+        elif x is not node and (x.cut or x.named and x.density < threshold or x.tag in GROUPS and x.link_tags > 1 and x.link_chars >= x.chars):
             if x.tag not in INLINE:
                 flush()
         elif x.tag == "br":
@@ -349,8 +349,8 @@ def blocks(node: Node) -> list[str]:
 
 
 def main_text(page: str) -> str:
-    node = select(parse(page)) if page else None
-    return "\n".join(blocks(node)) if node is not None else ""
+    found = select(parse(page)) if page else None
+    return "\n".join(blocks(*found)) if found is not None else ""
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

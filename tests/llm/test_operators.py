@@ -379,6 +379,57 @@ def test_main_text_in_named_wrappers(page, text):
     assert main_text(page) == text
 
 
+WORDS = "some words of a text that goes on for a while and then ends with a stop. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # no article element: density finds the column with the text, beside links and short lists
+        (f"<body><div><div><a href=a>Home</a> <a href=b>News</a> <a href=c>More</a></div><div><h1>Head</h1><p>{WORDS}</p><p>Short.</p><p>{WORDS}</p></div><div><ul><li><a href=x>One link here</a><li><a href=y>Another link</a></ul></div></div></body>", f"Head\n{WORDS.strip()}\nShort.\n{WORDS.strip()}"),
+        # sections of one text grow together
+        (f"<body><div><section><h2>One</h2><p>{WORDS * 2}</p><p>{WORDS}</p></section><section><h2>Two</h2><p>{WORDS}</p></section></div><table><tr><td><a href=x>a</a><td><a href=y>b</a></table></body>", f"One\n{(WORDS * 2).strip()}\n{WORDS.strip()}\nTwo\n{WORDS.strip()}"),
+        (f"<body><div><p>{WORDS}</p><p>{WORDS}</p><ul><li><a href=x>One link here</a><li><a href=y>Another link</a></ul><p><a href=z>A link of its own</a></p></div></body>", f"{WORDS.strip()}\n{WORDS.strip()}\nA link of its own"),
+        # names that say nothing about the part that has them
+        (f"<article><h1>Head</h1><p class='share-price'>{WORDS}</p><div class='menu'><p>{WORDS}</p></div><p class=legal>{WORDS}</p><p class='related-work'>x</p></article>", "\n".join(["Head", *[WORDS.strip()] * 3, "x"])),
+        (f"<body><header><h1>Site</h1></header><article><header><h1>Head</h1></header><p>{WORDS}</p><footer>By her</footer></article></body>", f"Head\n{WORDS.strip()}"),
+        # one long block doesn't stand for the article around it
+        (f"<body><article><h1>Head</h1><p><b>{WORDS * 20}<br><p>Short.</p></article></body>", f"Head\n{(WORDS * 20).strip()}\nShort."),
+        # comments that are longer than the text
+        (f"<body><div><div><p>{WORDS}</p><p>{WORDS}</p></div><div id=comments><div><p>{WORDS * 3}</p><p>{WORDS * 3}</p><p>{WORDS * 3}</p></div></div></div></body>", f"{WORDS.strip()}\n{WORDS.strip()}"),
+        (f"<body><div class=comments><p>{WORDS}</p><p>{WORDS}</p></div></body>", f"{WORDS.strip()}\n{WORDS.strip()}"),
+        (f"<body><article><p>{WORDS}</p><div class='ad-box'>{WORDS}</div><p>{WORDS}</p></article></body>", f"{WORDS.strip()}\n{WORDS.strip()}"),
+    ],
+)
+def test_density_selects(page, text):
+    from redactory.llm.html_text import main_text
+
+    assert main_text(page) == text
+
+
+def test_pages_without_their_article_element(spark, sf_dir, monkeypatch):
+    """The tables' pages with div in place of article give the same texts, and don't where density is one for all elements."""
+    from redactory.llm import html_text
+
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    other = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    own = [html_text.main_text(p) for p in pages]
+    assert [html_text.main_text(p) for p in other] == own
+    monkeypatch.setattr(html_text, "density", lambda *_: 1.0)
+    assert sum(html_text.main_text(p) != x for p, x in zip(other, own, strict=True)) > len(pages) / 2
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    from redactory.llm.html_text import main_text
+
+    for page in ("<div>" * 20_000 + "</x>" * 20_000, "<li><section>" * 20_000, "<p><button>" * 20_000, "<table><tr><td>" * 10_000, "<div class=ad>" * 20_000 + "x"):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 3, page[:20]
+
+
 def test_pages(spark, sf_dir):
     from redactory.llm.html_text import extract_text, main_text
 
