@@ -12,7 +12,9 @@ taken in two steps, over ranges of the hash and inside the one range that the bu
 
 Defined cases: null texts have no tokens and go with the prefix they stand in; null domain, language or source are names of their own;
 an empty table gives no rows; repeated rows are separate documents in one place of the order, taken or left together; a leaf of weight
-zero gets nothing; columns of other names are kept, columns of names that start with two underscores excepted.
+zero gets nothing; all columns are kept, whatever their names, but those that mix() adds (COLUMNS) take the place of columns so named.
+
+A task holds the children of one node of the tree at most, one narrow row for each.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.session import materialize
+from redactory.session import ROWS_PER_FILE, materialize
 
 LEVELS = ("__domain", "__lang", "__source")
 #: Name of a null domain, language or source.
 NO_NAME = "\0"
+#: What mix() adds to the columns of a table.
+COLUMNS = (*LEVELS, "__tokens", "__copies")
+#: Bits of a document's place in the order of an epoch.
+ORDER_BITS = 60
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,13 @@ class Tree:
             out = F.when(match, F.lit(self.weights[p])).otherwise(out)
         return out.cast("long")
 
+    def sql(self, level: int, names: list[str]) -> str:
+        """column() as SQL over columns of these names."""
+        quoted = lambda x: "'" + x.replace("'", "''") + "'"
+        paths = sorted((p for p in self.weights if len(p) == level), key=lambda p: p.count("*"))
+        when = "".join(f" WHEN {' AND '.join([f'{n} = {quoted(x)}' for n, x in zip(names, p, strict=False) if x != '*'] or ['true'])} THEN {self.weights[p]}" for p in paths)
+        return f"CASE{when} ELSE {self.default} END" if when else str(self.default)
+
 
 def share(children: DataFrame, parents: DataFrame | None, by: list[str], name: str, budget: Column | None = None) -> DataFrame:
     """children (by + name, weight, capacity) with their share of the parents' (by, share), as whole tokens."""
@@ -54,8 +67,9 @@ def share(children: DataFrame, parents: DataFrame | None, by: list[str], name: s
     else:
         rows = children.withColumn("budget", budget)
     rows = rows.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0).cast("long")))
-    # order of filling: capacity over weight, compared exactly by its whole and the remainder's ratio
-    order = [F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(-1.0)), F.col(name)]
+    # order of filling: capacity over weight, by its whole part and the rest's; the double of the latter is exact enough for weights below 2^26
+    whole = F.when(F.col("weight") > 0, F.expr("capacity div weight")).otherwise(F.lit(-1).cast("long"))
+    order = [whole, F.when(F.col("weight") > 0, F.col("capacity") % F.col("weight") / F.col("weight")).otherwise(F.lit(0.0)), F.col(name)]
     w = Window.partitionBy(*by).orderBy(*order)
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
     rows = rows.withColumns({"below": F.coalesce(F.sum("capacity").over(before), F.lit(0)), "open_weight": F.sum("weight").over(after), "rank": F.row_number().over(w)})
@@ -93,19 +107,23 @@ def mix(docs: DataFrame, tree: Tree, *, domain: Column, lang: str = "lang", sour
     """
     d, l, s = LEVELS
     name = lambda x: F.coalesce(x.cast("string"), F.lit(NO_NAME))
-    held = docs.withColumns({d: name(domain), l: name(F.col(lang)), s: name(F.col(source)), "__tokens": F.coalesce(tokens, F.lit(0)).cast("long"), "__key": F.xxhash64(key)})
-    held = materialize(held, "mixture-documents")
+    names = [c for c in docs.columns if c not in COLUMNS]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]  # no name of docs can clash from here on
+    added = {d: name(domain), l: name(F.col(lang)), s: name(F.col(source)), "__tokens": F.coalesce(tokens, F.lit(0)).cast("long"), "__key": F.coalesce(key.cast("string"), F.lit(NO_NAME))}
+    held = materialize(docs.select(*own, *(v.alias(k) for k, v in added.items())), "mixture-documents")
     leaves = held.groupBy(*LEVELS).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     leaves = materialize(leaves, "leaves", n_leaves := leaves.count())
     total = leaves.agg(F.sum("tokens").alias("t")).first().t or 0  # one number
     shares = leaf_budgets(leaves, tree, int(total * budget_ratio), epochs)
     plan = leaves.join(shares.select(*LEVELS, "share"), [*LEVELS])
-    # ranges of the hash: as many as a leaf has documents in each, so neither step of the sum is large
+    # ranges of the order: as many as a leaf has documents in each, so neither step of the sum is large
     bits = F.least(F.lit(40), F.ceil(F.log2("n") / 2)).cast("int")
     plan = materialize(plan.withColumns({"full": F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.when(F.col("share") > 0, epochs).otherwise(0)), "bits": bits}), "leaf-plan", n_leaves)
     plan = plan.withColumn("rest", F.col("share") - F.col("full") * F.col("tokens"))
-    order = F.xxhash64("__key", F.lit(seed), F.col("full"))
-    at = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(__order, 64 - bits)")).otherwise(F.lit(0).cast("long"))
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), "__key")), 1, ORDER_BITS // 4), 16, 10).cast("long")
+    at = F.expr(f"shiftrightunsigned(__order, {ORDER_BITS} - bits)")
+    #: Rows by leaf; those of a window over leaves are dealt anew, so that the few files don't make few tasks of the window.
+    few = lambda df, what: materialize(df.repartition(-(-max(n_leaves, 1) // ROWS_PER_FILE)), what)
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(plan.select(*LEVELS, "full", "rest", "bits"), [*LEVELS]).withColumn("__order", order).withColumn("__range", at)
@@ -114,20 +132,19 @@ def mix(docs: DataFrame, tree: Tree, *, domain: Column, lang: str = "lang", sour
     running = Window.partitionBy(*LEVELS).orderBy("__range")
     sums = sums.withColumn("upto", F.sum("t").over(running))
     ends = sums.where(F.col("upto") > F.col("rest")).groupBy(*LEVELS).agg(F.min(F.struct("__range", (F.col("upto") - F.col("t")).alias("before"))).alias("end"))
-    ends = materialize(ends, "leaf-ends", n_leaves)
+    ends = few(ends, "leaf-ends")
     rows = placed(held)
     rows = rows.join(ends, [*LEVELS], "left")
     edge = rows.where(F.col("__range") == F.col("end.__range")).select(*LEVELS, "__order", "__tokens", "rest", "end.before")
     inside = Window.partitionBy(*LEVELS).orderBy("__order").rangeBetween(Window.unboundedPreceding, 0)
     cut = edge.withColumn("upto", F.col("before") + F.sum("__tokens").over(inside)).where(F.col("upto") <= F.col("rest")).groupBy(*LEVELS).agg(F.max("__order").alias("last"))
-    cut = materialize(cut, "leaf-cuts", n_leaves)
+    cut = few(cut, "leaf-cuts")
     rows = rows.join(cut, [*LEVELS], "left")
-    # order within a range is that of the signed hash, as in the window above
     in_part = (F.col("end").isNull()) | (F.col("__range") < F.col("end.__range")) | ((F.col("__range") == F.col("end.__range")) & (F.col("__order") <= F.col("last")))
     partial = F.when(F.col("full") < epochs, F.coalesce(in_part, F.lit(False)).cast("int")).otherwise(0)
     weighted = tree.column(1) * tree.column(2) * tree.column(3) > 0
     copies = F.when(weighted, F.least(F.lit(epochs), F.col("full") + F.when(F.col("rest") > 0, partial).otherwise(0))).otherwise(0)
-    return rows.withColumn("__copies", copies.cast("int")).select(*docs.columns, *LEVELS, "__tokens", "__copies")
+    return rows.withColumn("__copies", copies.cast("int")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *COLUMNS)
 
 
 #: Production weights of this corpus: its sources stand in three domains, English counts double in the general one.
@@ -151,13 +168,55 @@ def word_tokens(text: Column) -> Column:
     return F.size(words_of(F.coalesce(text, F.lit(""))))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """mix() with the production tree for a table like documents."""
-    return mix(docs, TREE, domain=domain_of(F.col("source")), tokens=word_tokens(F.col("text")), key=F.col("doc_id"), **options)
+def mix_documents(docs: DataFrame, tokens: Column | None = None, **options) -> DataFrame:
+    """mix() with the production tree for a table like documents. tokens: by default the words of the text."""
+    return mix(docs, TREE, domain=domain_of(F.col("source")), tokens=word_tokens(F.col("text")) if tokens is None else tokens, key=F.col("doc_id"), **options)
 
 
 def mixture_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixture as rows: each document as often as it was selected, with the columns of docs."""
     mixed = mix_documents(docs, **options)
-    names = docs.columns
-    return mixed.where("__copies > 0").select(*names, F.explode(F.sequence(F.lit(1), "__copies")).alias("__epoch")).drop("__epoch")
+    names = [c for c in mixed.columns if c not in COLUMNS]
+    rows = mixed.where("__copies > 0").select(*(F.col(f"`{c}`") for c in names), F.explode(F.sequence(F.lit(1), "__copies")).alias("__copies"))
+    return rows.drop("__copies") if names == docs.columns else rows.select(*(F.col(f"`{c}`") if c in names else F.lit(None).cast(t).alias(c) for c, t in docs.dtypes))
+
+
+def _share_sql(level: int, tree: Tree) -> str:
+    """Tables of shares of a level's children (c{level}: names, capacity) in their parents' (p{level}: names, budget)."""
+    names = ["d", "l", "s"][:level]
+    by, own = ", ".join(names[:-1]), ", ".join(names)
+    part = f"PARTITION BY {by}" if by else ""
+    join = f"JOIN p{level} USING ({by})" if by else f"CROSS JOIN p{level}"
+    weight = tree.sql(level, names)
+    order = f"{part} ORDER BY whole, rest, {names[-1]}"
+    return f"""
+a{level} AS (SELECT {own}, CAST({weight} AS HUGEINT) AS w, CASE WHEN {weight} > 0 THEN CAST(capacity AS HUGEINT) ELSE 0 END AS c, CAST(budget AS HUGEINT) AS b FROM c{level} {join}),
+o{level} AS (SELECT *, CASE WHEN w > 0 THEN c // w ELSE -1 END AS whole, CASE WHEN w > 0 THEN CAST(c % w AS DOUBLE) / CAST(w AS DOUBLE) ELSE 0 END AS rest FROM a{level}),
+f{level} AS (SELECT *, coalesce(sum(c) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wide, row_number() OVER ({order}) AS r FROM o{level}),
+g{level} AS (SELECT *, min(CASE WHEN c * wide > w * (b - below) THEN r END) OVER ({part}) AS ra FROM f{level}),
+h{level} AS (SELECT *, max(CASE WHEN r = ra THEN below END) OVER ({part}) AS ra_below, max(CASE WHEN r = ra THEN wide END) OVER ({part}) AS ra_wide FROM g{level}),
+i{level} AS (SELECT *, CASE WHEN ra IS NOT NULL AND r >= ra AND w > 0 THEN CAST(w * (b - ra_below) // ra_wide AS HUGEINT) ELSE c END AS sh FROM h{level}),
+s{level} AS (SELECT {own}, CAST(sh + CASE WHEN ra IS NOT NULL AND r >= ra AND sh < c AND r - ra < least(b, sum(c) OVER ({part})) - sum(sh) OVER ({part}) THEN 1 ELSE 0 END AS HUGEINT) AS share FROM i{level})"""
+
+
+def oracle_sql(tree: Tree = TREE, epochs: int = 2, seed: int = 7) -> str:
+    """mix_documents() over documents, with a budget of all tokens, as SQL of DuckDB."""
+    domain = "CASE" + "".join(f" WHEN try_cast(regexp_extract(source, '(\\d+)$', 1) AS INT) BETWEEN {n.start} AND {n.stop - 1} THEN '{k}'" for k, n in reversed(DOMAINS.items())) + " ELSE 'general' END"
+    weighted = " * ".join(f"({tree.sql(k, ['d', 'l', 's'])})" for k in (1, 2, 3))
+    return f"""
+WITH docs AS (
+  SELECT *, coalesce({domain}, 'general') AS d, coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s, coalesce(CAST(doc_id AS VARCHAR), chr(0)) AS k,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n FROM documents
+), leaves AS (SELECT d, l, s, sum(n) AS tokens FROM docs GROUP BY ALL),
+c3 AS (SELECT d, l, s, tokens * {epochs} AS capacity FROM leaves),
+c2 AS (SELECT d, l, sum(CASE WHEN {tree.sql(3, ["d", "l", "s"])} > 0 THEN capacity ELSE 0 END) AS capacity FROM c3 GROUP BY ALL),
+c1 AS (SELECT d, sum(CASE WHEN {tree.sql(2, ["d", "l"])} > 0 THEN capacity ELSE 0 END) AS capacity FROM c2 GROUP BY ALL),
+p1 AS (SELECT sum(tokens) AS budget FROM leaves),{_share_sql(1, tree)},
+p2 AS (SELECT d, share AS budget FROM s1),{_share_sql(2, tree)},
+p3 AS (SELECT d, l, share AS budget FROM s2),{_share_sql(3, tree)},
+plan AS (SELECT d, l, s, CASE WHEN tokens > 0 THEN share // CAST(tokens AS HUGEINT) WHEN share > 0 THEN {epochs} ELSE 0 END AS whole, share, tokens FROM leaves JOIN s3 USING (d, l, s)),
+placed AS (SELECT docs.*, whole, share - whole * tokens AS rest, CAST('0x' || substr(md5('{seed}:' || CAST(whole AS VARCHAR) || ':' || k), 1, {ORDER_BITS // 4}) AS BIGINT) AS o FROM docs JOIN plan USING (d, l, s)),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY d, l, s ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
+SELECT doc_id, d AS domain, lang, source, CAST(n AS BIGINT) AS n_tokens,
+  CAST(CASE WHEN {weighted} > 0 THEN least({epochs}, whole + CASE WHEN whole < {epochs} AND rest > 0 AND upto <= rest THEN 1 ELSE 0 END) ELSE 0 END AS INT) AS copies
+FROM summed"""

@@ -91,6 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from redactory.llm import decontam, quality
+    from redactory.llm import decontam, mixture, quality
 
-    return {"op6_decontamination": decontam.ORACLE_SQL, "op8_quality_rules": quality.ORACLE_SQL}
+    return {"op2_mixture": mixture.oracle_sql(), "op6_decontamination": decontam.ORACLE_SQL, "op8_quality_rules": quality.ORACLE_SQL}
