@@ -186,14 +186,15 @@ def agreeing(count: int, budget: int, size: int) -> int:
     return k
 
 
-def keyed(rows: DataFrame, bits: list[int], blocks: int, agree: int) -> tuple[DataFrame, dict[int, list[int]]]:
+def keyed(rows: DataFrame, bits: list[int], blocks: int, agree: int, first: int = 0) -> tuple[DataFrame, dict[int, list[int]]]:
     """(fp, value) of each group that a fingerprint is in, and the bits that are left of each choice of blocks.
 
-    rows: fp, under (what the group is part of). value: a hash of all that its members agree in, with the choice in its last byte.
+    rows: fp, under (what the group is part of). value: a hash of all that its members agree in, with the choice's number, from `first`
+    on, in its last byte.
     """
     parts = cut(bits, blocks)
-    choices = dict(enumerate(combinations(range(blocks), agree)))
-    if len(choices) > 256:
+    choices = dict(enumerate(combinations(range(blocks), agree), first))
+    if first + len(choices) > 256:
         raise ValueError("more choices of blocks than a byte tells apart")
     inside = {c: sum((parts[i] for i in chosen), []) for c, chosen in choices.items()}
     values = F.array(*(F.xxhash64("under", F.lit(c), _field(F.col("fp"), own)).bitwiseAND(F.lit(-256)).bitwiseOR(F.lit(c).cast("long")) for c, own in inside.items()))
@@ -268,17 +269,25 @@ def group_links(groups: DataFrame, budget: int, limit: int, last: frozenset[int]
 
 
 def all_links(reps: DataFrame, budget: int, k: int, limit: int) -> DataFrame:
-    """a, b: links that connect every two fingerprints within the budget."""
+    """a, b: links that connect every two fingerprints within the budget.
+
+    Groups above the limit are split by more of their bits, those of as many choices as a byte tells apart in one job: a level of
+    splitting is a few jobs, however many groups it has.
+    """
     found, open_ = [], [(reps.select("fp", F.lit(0).cast("long").alias("under")), list(range(BITS)), k)]
     while open_:
-        rows, bits, agree = open_.pop()
-        groups, left = keyed(rows, bits, min(len(bits), budget + agree), agree)
-        # with so few bits left, any two members of a group are within the budget
-        last = frozenset(c for c, rest in left.items() if len(rest) <= budget)
-        out = materialize(group_links(groups, budget, limit, last), "group-links")
+        groups, left, last = [], {}, set()
+        while open_ and len(left) + comb(min(len(open_[0][1]), budget + open_[0][2]), open_[0][2]) <= 256:
+            rows, bits, agree = open_.pop(0)
+            own, inside = keyed(rows, bits, min(len(bits), budget + agree), agree, len(left))
+            groups.append(own)
+            left |= inside
+            # with so few bits left, any two members of a group are within the budget
+            last |= {c for c, rest in inside.items() if len(rest) <= budget}
+        out = materialize(group_links(reduce(DataFrame.union, groups), budget, limit, frozenset(last)), "group-links")
         found.append(out.where("value IS NULL").select(F.col("fp").alias("a"), F.col("root").alias("b")))
         large = out.where("value IS NOT NULL")
-        for r in large.select(F.col("value").bitwiseAND(F.lit(255)).alias("c")).distinct().collect():  # 256 at most
+        for r in large.select(F.col("value").bitwiseAND(F.lit(255)).alias("c")).distinct().orderBy("c").collect():  # 256 at most
             open_.append((large.where(F.col("value").bitwiseAND(F.lit(255)) == r.c).select("fp", F.col("value").alias("under")), left[r.c], 1))
     return reduce(DataFrame.union, found)
 
