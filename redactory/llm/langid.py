@@ -5,13 +5,14 @@ row of the embedding table; a text is the mean of its rows, and a linear layer w
 are trained together by mini-batch gradient steps in numpy. The scores are calibrated by a temperature, and a threshold of rejection is
 set, both on a part of the learning rows that the training hasn't seen.
 
-Training reads a bounded sample of labelled rows: at most `per_language` whole texts of each language, and MOST_ROWS of all, those of
-the least seeded hash, as counts of subwords (BUCKETS numbers each). What reaches the driver is bounded by MOST_ROWS * BUCKETS numbers.
+Training reads a bounded sample of labelled rows: at most `per_language` whole texts of each language, and `most_rows` of all, those of
+the least seeded hash, one of each language before a second of any, as counts of subwords (BUCKETS numbers each). What reaches the driver is bounded by MOST_ROWS * BUCKETS numbers.
 The model is buckets * languages numbers when it predicts: the layer is applied to the embedding table beforehand.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with no labelled rows everything is `und`; ties go to the
-language that sorts first; languages are any values of the label column; copies of a text are learned once in each language;
-columns of other names are ignored.
+language that sorts first; languages are any values of the label column; copies of a text are learned once in each language, so a
+language whose rows are all copies is learned from its few texts; columns of other names are kept, and those that are named as what
+identify adds are replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from redactory.llm.arrow import map_arrow
 
 BUCKETS, LONGEST = 4096, 4
-#: Labelled rows that training reads at most, of each language, and languages at most (the most frequent).
-PER_LANGUAGE, MOST_LANGUAGES = 600, 200
-#: Labelled rows that training reads at most, of all languages together.
-MOST_ROWS = 6000
+#: Labelled rows that training reads at most, of each language and of all together.
+PER_LANGUAGE, MOST_ROWS = 600, 6000
+#: What identify() adds to the columns of a table.
+COLUMNS = ("lang_pred", "score", "rejected")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -149,19 +150,14 @@ def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str], *, width:
     return Model(languages, table, bias.astype(np.float64), float(best[1]), float(top[order[good[-1]]]) if len(good) else 1.0)
 
 
-def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, seed: int = 5) -> Model | None:
+def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, seed: int = 5) -> Model | None:
     """Fits a model to a bounded sample of rows with a text and a label; None if there are none.
 
     The sample is of distinct texts, those of the least hashes. It is taken in each partition first (Spark puts the limit of a rank before
-    the shuffle), so no task holds more than a language's bound per partition.
+    the shuffle), so no task holds more than a language's bound per partition. Languages are those of the sample.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()  # most_languages rows at most
-    if not known:
-        return None
-    languages = sorted(r.lang for r in known)
-    per_language = max(1, min(per_language, MOST_ROWS // len(languages)))
-    near = rows.where(F.col("lang").isin(languages)).withColumn("h", F.xxhash64("text", F.lit(seed)))
+    near = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,10 +167,11 @@ def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
 
     # unsigned order: the sign bit is turned
     first = Window.partitionBy("lang").orderBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    picked = near.select("lang", "h").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("lang", "h")
+    picked = near.select("lang", "h").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).orderBy("rank", "lang").limit(most_rows).select("lang", "h")
     sample = map_arrow(near.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", "text").dropDuplicates(["lang", "h"]), run, "lang string, h long, counts binary").orderBy("lang", "h").collect()
     if not sample:
         return None
+    languages = sorted({r.lang for r in sample})
     index = {x: i for i, x in enumerate(languages)}
     labels = np.array([index[r.lang] for r in sample])
     counts = np.array([np.frombuffer(r.counts, "<u4") for r in sample], np.float32)
@@ -184,8 +181,8 @@ def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
 
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
     """Columns of docs but the text, with lang_pred, score (calibrated, 0 to 1) and rejected (score below the model's threshold)."""
-    keep = [c for c in docs.columns if c != text_col]
-    own = docs.select(*keep, F.col(text_col).alias("__text"))
+    keep = [c for c in docs.columns if c != text_col and c not in COLUMNS]
+    own = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,7 +194,7 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
                 for i, c, s in zip(live, p.argmax(1), p.max(1), strict=True):
                     names[i], scores[i] = model.languages[c], float(s)
             rejected = [n == "und" or s < model.threshold for n, s in zip(names, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(names), pa.array(scores, pa.float64()), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(names), pa.array(scores, pa.float64()), pa.array(rejected)], names=[*keep, *COLUMNS])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in own.dtypes[:-1])
     return map_arrow(own, run, f"{kinds}, lang_pred string, score double, rejected boolean")
