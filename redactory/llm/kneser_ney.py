@@ -3,8 +3,9 @@
 Tokens are words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, then one end; the context of a text's first token is a start mark. Words
 are 64-bit hashes (XXH64); a bigram is a 64-bit key of its two words.
 
-Counting: each task sums the bigrams of some millions of tokens and deals them out, packed in arrays, by context; a context's bigrams are
-spread over SPREAD shards, so a frequent context is no hot group. A shard adds up its bigrams and writes their keys in order with their
+Counting: each task sums the bigrams of some millions of tokens and deals them out, packed in arrays, by context. There is a shard for
+every SHARD_BYTES of text, and a context's bigrams are spread over an eighth of the shards (SPREAD at least), so neither a shard nor what a
+frequent context brings to one grows with the corpus. A shard adds up its bigrams and writes their keys in order with their
 counts; what it knows of words (as contexts: total and types by count; as followers: types and count) goes on, packed, to the word
 shards, which add up and write the word tables. Both are files in the shared folder, named by attempt; the manifest that Spark commits
 names those that count. Discounts and totals come from sums over the manifest, one row per shard. Nothing but these sums is collected.
@@ -17,12 +18,14 @@ types, k the types that end in w, V the number of distinct tokens, D and E the d
 
 Defined cases: null and empty texts are the end token alone; with no training rows every text's probability is that of the uniform
 distribution over one unknown token; words never seen share q's last term; repeated rows count each; columns of other names are
-kept by score, or ignored.
+kept by score, and those named as what it adds (COLUMNS) are replaced.
+
+A worker maps the shards that its texts need, when they need them. Where the shared folder isn't a mounted path it copies those shards
+first; a copy is unlinked as soon as it is mapped, so nothing stays behind when a worker ends.
 """
 
 from __future__ import annotations
 
-import os
 import shutil
 import struct
 import tempfile
@@ -43,7 +46,9 @@ from redactory.session import materialize, scratch_path
 
 #: Marks hold a space, so no word has their bytes.
 START, END = (xxhash.xxh64_intdigest(x) for x in (b" start", b" end"))
-SPREAD, MOST_SHARDS = 8, 4096
+SPREAD, SHARD_BYTES = 8, 16 << 20
+#: What score() adds to the columns of a table.
+COLUMNS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", "n_unseen", "n_once")
 #: Tokens whose bigrams a task sums at once, and tokens that are scored at once.
 SUM_TOKENS, SCORE_TOKENS = 4_000_000, 500_000
 
@@ -102,7 +107,7 @@ def numbers_of(text: str | None, vocabulary: Vocabulary) -> list[int]:
 
 
 def shard_of(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    spread = (w % np.uint64(SPREAD)) * np.uint64(0x9E3779B9)
+    spread = (w % np.uint64(max(SPREAD, shards // 8))) * np.uint64(0x9E3779B9)
     return ((((u >> np.uint64(32)) + spread) & np.uint64(0xFFFFFFFF)) * np.uint64(shards)) >> np.uint64(32)
 
 
@@ -110,14 +115,13 @@ def word_shard(w: np.ndarray, shards: int) -> np.ndarray:
     return ((w >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def key_of(u: np.ndarray, w: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """The shard, then 52 bits of a hash of both words: keys are in order of shards."""
+def key_of(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64 bits of a hash of both words."""
     with np.errstate(over="ignore"):
         x = u * np.uint64(0x9E3779B97F4A7C15) + ((w << np.uint64(31)) | (w >> np.uint64(33)))
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return (shard << np.uint64(52)) | (x >> np.uint64(12))
+        return x ^ (x >> np.uint64(31))
 
 
 def slices(sorted_shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -138,7 +142,7 @@ def packed_bigrams(texts: list[str | None], shards: int) -> Iterator[tuple[int,
     h = vocabulary.hashes()
     left = (pairs >> np.uint64(32)).astype(np.intp)
     u, w = h[left], h[(pairs & np.uint64(0xFFFFFFFF)).astype(np.intp)]
-    shard = shard_of(u, w, shards).astype(np.uint16)
+    shard = shard_of(u, w, shards).astype(np.uint32)
     order = np.argsort(shard, kind="stable")  # pairs of a context stay together
     u, w, counts, shard = u[order], w[order], counts[order], shard[order]
     for s, a, b in slices(shard):
@@ -205,8 +209,10 @@ def count_model(docs: DataFrame, *, text_col: str = "text", shards: int | None =
     spark = docs.sparkSession
     prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or min(MOST_SHARDS, 3 * parts)
-    word_shards = max(1, min(shards, parts))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0  # one number
+        shards = max(3 * parts, -(-size // SHARD_BYTES))
+    word_shards = max(1, min(shards, parts), shards // 4)
     folder = folder or scratch_path(spark, "ngrams")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +236,7 @@ def count_model(docs: DataFrame, *, text_col: str = "text", shards: int | None =
     def bigrams(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         u, w, c = summed_bigrams(table.column("data").to_pylist())
-        keys = key_of(u, w, np.full(len(u), shard, np.uint64))
+        keys = key_of(u, w)
         order = np.argsort(keys)
         name = save(folder, "bigrams", shard, dump(keys[order], narrow(c[order])))
         first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
@@ -284,7 +290,7 @@ MANIFEST = ["kind", "shard", "name", "types", "tokens", "words", "n1", "n2", "n3
 
 
 class Mapped:
-    """A model's files, memory-mapped. Files in a folder that isn't mounted are copied to the worker's own folder first."""
+    """A model's files, memory-mapped when they are needed. Files in a folder that isn't mounted are copied to the worker's own folder first."""
 
     _open: dict[str, Mapped] = {}
 
@@ -297,44 +303,53 @@ class Mapped:
 
     def __init__(self, model: Model):
         self.model = model
-        fs, base = open_folder(model.folder)
-        if not isinstance(fs, pafs.LocalFileSystem):
-            own = tempfile.mkdtemp(prefix="ngrams-")
-            for _, name in (*model.bigram_files, *model.word_files):
-                with fs.open_input_stream(f"{base}/{name}") as f, open(os.path.join(own, name), "wb") as to:
-                    shutil.copyfileobj(f, to)
-            base = own
-        read = lambda name: load(np.memmap(f"{base}/{name}", np.uint8, "r"))
-        self.bigrams = [(s, *read(name)) for s, name in model.bigram_files]
-        self.words = [(s, *read(name)) for s, name in model.word_files]
+        self.fs, self.base = open_folder(model.folder)
+        self.bigram_files, self.word_files = dict(model.bigram_files), dict(model.word_files)
+        self.arrays: dict[str, list[np.ndarray]] = {}
+
+    def read(self, name: str) -> list[np.ndarray]:
+        """The arrays of a file: keys in order, then what belongs to them."""
+        if name not in self.arrays:
+            if isinstance(self.fs, pafs.LocalFileSystem):
+                self.arrays[name] = load(np.memmap(f"{self.base}/{name}", np.uint8, "r"))
+            else:
+                with tempfile.NamedTemporaryFile(prefix="ngrams-") as to:  # the map outlives the name
+                    with self.fs.open_input_stream(f"{self.base}/{name}") as f:
+                        shutil.copyfileobj(f, to)
+                    to.flush()
+                    self.arrays[name] = load(np.memmap(to.name, np.uint8, "r"))
+        return self.arrays[name]
 
     def word_rows(self, h: np.ndarray) -> list[np.ndarray]:
         """count, types, total, n1, n2, n3 of hashes in any order; zeros where unknown."""
         out = [np.zeros(len(h), np.int64) for _ in range(6)]
         order = np.argsort(h)
         own = h[order]
-        bounds = np.searchsorted(word_shard(own, self.model.word_shards), [[s, s + 1] for s, *_ in self.words]) if self.words else []
-        for (_, keys, *values), (a, b) in zip(self.words, bounds, strict=True):
-            at = np.minimum(np.searchsorted(keys, own[a:b]), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == own[a:b])
-            for o, v in zip(out, values, strict=True):
-                o[order[a:b][hit]] = v[at[hit]]
+        for s, a, b in slices(word_shard(own, self.model.word_shards)):
+            if s in self.word_files:
+                keys, *values = self.read(self.word_files[s])
+                at = np.minimum(np.searchsorted(keys, own[a:b]), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == own[a:b])
+                for o, v in zip(out, values, strict=True):
+                    o[order[a:b][hit]] = v[at[hit]]
         return out
 
-    def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of keys in order."""
-        out = np.zeros(len(keys), np.int64)
-        shard = keys >> np.uint64(52)
-        for s, own, counts in self.bigrams:
-            a, b = np.searchsorted(shard, [s, s + 1])
-            if a < b:
+    def bigram_counts(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Counts of the bigrams of word hashes."""
+        out = np.zeros(len(u), np.int64)
+        shard, keys = shard_of(u, w, self.model.shards), key_of(u, w)
+        order = np.lexsort((keys, shard))
+        keys = keys[order]
+        for s, a, b in slices(shard[order]):
+            if s in self.bigram_files:
+                own, counts = self.read(self.bigram_files[s])
                 at = np.minimum(np.searchsorted(own, keys[a:b]), len(own) - 1)
                 hit = own[at] == keys[a:b]
-                out[a:b][hit] = counts[at[hit]]
+                out[order[a:b][hit]] = counts[at[hit]]
         return out
 
     def score(self, texts: list[str | None]) -> list[np.ndarray]:
-        """n_tokens, n_known, base_score, score of each text."""
+        """n_tokens, n_known, base_score, score, n_unseen, n_once of each text."""
         m = self.model
         vocabulary = Vocabulary()
         ids = [np.array(numbers_of(t, vocabulary), np.uint64) for t in texts]
@@ -349,23 +364,24 @@ class Mapped:
         take = lambda d, c: np.choose(np.minimum(c, 3), (0.0, *d))
         rest = sum(d * n for d, n in zip(m.lower, m.lower_types, strict=True))
         q = (types - take(m.lower, types) + rest / (m.words + 1)) / m.types if m.types else np.ones(len(h))
-        u, w = h[left], h[right]
-        keys = key_of(u, w, shard_of(u, w, m.shards))
-        order = np.argsort(keys)
-        c = np.zeros(len(keys), np.int64)
-        c[order] = self.bigram_counts(keys[order])
+        c = self.bigram_counts(h[left], h[right])
         t = np.maximum(total, 1)[left]
         share = np.where(total > 0, (m.discounts[0] * n1 + m.discounts[1] * n2 + m.discounts[2] * n3) / np.maximum(total, 1), 1.0)[left]
         p = np.log10((c - take(m.discounts, c)) / t + share * q[right])
         n = len(texts)
         tokens = np.bincount(owner, minlength=n)
-        return [tokens, np.bincount(owner, (count > 0)[right][inverse], n).astype(np.int64), np.bincount(owner, base[right][inverse], n), np.bincount(owner, p[inverse], n)]
+        sum_ = lambda x: np.bincount(owner, x[inverse], n)
+        return [tokens, sum_((count > 0)[right]).astype(np.int64), sum_(base[right]), sum_(p), sum_(c == 0).astype(np.int64), sum_(c == 1).astype(np.int64)]
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """Columns of docs but the text, with n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity. No shuffle."""
-    keep = [c for c in docs.columns if c != text_col]
-    own = docs.select(*keep, F.col(text_col).alias("__text"))
+    """Columns of docs but the text, with n_tokens, n_known, train_tokens, base_score, score (log10), perplexity, n_unseen and n_once. No shuffle.
+
+    n_unseen, n_once: tokens that follow the word before them nowhere, or in one place, of the training texts. A text that was learned
+    from twice has neither.
+    """
+    keep = [c for c in docs.columns if c != text_col and c not in COLUMNS]
+    own = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped = Mapped.of(model)
@@ -377,10 +393,11 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
                 while end < len(texts) and (end == at or size < SCORE_TOKENS):
                     size += 2 + (len(texts[end]) // 6 if texts[end] else 0)
                     end += 1
-                tokens, known, base, p = mapped.score(texts[at:end])
+                tokens, known, base, p, unseen, once = mapped.score(texts[at:end])
                 part = b.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(tokens), model.tokens), pa.int64()), pa.array(base), pa.array(p), pa.array(10 ** np.minimum(-p / tokens, 300))], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                found = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(tokens), model.tokens), pa.int64()), pa.array(base), pa.array(p), pa.array(10 ** np.minimum(-p / tokens, 300)), pa.array(unseen, pa.int64()), pa.array(once, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *found], names=[*keep, *COLUMNS])
                 at = end
 
     kinds = "".join(f"`{n}` {t}, " for n, t in own.dtypes[:-1])
-    return map_arrow(own, run, f"{kinds}n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return map_arrow(own, run, f"{kinds}n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double, n_unseen long, n_once long")
