@@ -6,13 +6,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are wri
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from redactory.llm.decontam import drop_contaminated
 from redactory.llm.mixture import mixture_rows
 from redactory.llm.quality import filter_quality
 from redactory.llm.queries import table, vocabulary
 from redactory.llm.simhash import near_dedup
-from redactory.llm.token_files import token_files
+from redactory.llm.token_files import id_counts, token_files
 from redactory.session import materialize
 
 
@@ -22,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the least doc_id: shingles of five words, a exact Jaccard similarity of 0.8 or more."""
+    """One document of each near-duplicate class, the one with the least doc_id: shingles of five words, an exact Jaccard similarity of 0.8 or more."""
     return near_dedup(docs, width=5, alike=0.6, similarity=0.8)
 
 
@@ -32,8 +33,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights select them."""
-    return mixture_rows(docs)
+    """Documents as often as the target weights select them, counted in the ids that the token files will hold."""
+    return mixture_rows(docs, tokens=id_counts(spark, F.col("text"), vocabulary()))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

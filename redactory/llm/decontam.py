@@ -165,8 +165,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that contain a window of the benchmark."""
-    return find_windows(docs, benchmark, **options).where(F.size("__spans") == 0).drop("__words", "__spans", "__items")
+    """docs without those that contain a window of the benchmark. Columns that are named as those of find_windows are kept."""
+    clash = {c: f"__in_{c}" for c in docs.columns if c in ("__words", "__spans", "__items")}
+    text = options.pop("text_col", "text")
+    found = find_windows(docs.withColumnsRenamed(clash), benchmark, text_col=clash.get(text, text), **options).where(F.size("__spans") == 0)
+    return found.select(*(F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

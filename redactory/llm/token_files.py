@@ -11,7 +11,8 @@ one row per shard, which the driver holds. A lost or repeated attempt leaves a f
 shards are a running sum over it.
 
 Defined cases: a null or empty text has the end id only; rows with equal doc_id are all written, ordered by a hash of their text;
-null doc_ids come first; an empty table gives no shard and no rows; columns of other names are ignored. The shared folder must be
+null doc_ids come first; ids that aren't whole
+numbers count as null; an empty table gives no shard and no rows; columns of other names are ignored. The shared folder must be
 one that pyarrow's file systems open (a mounted path, hdfs, s3, gs).
 """
 
@@ -27,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.arrow import map_arrow, texts_of
+from redactory.llm.arrow import map_arrow, prepare, texts_of
 from redactory.llm.token_count import PATTERN, byte_symbols
 from redactory.session import scratch_path
 
@@ -232,6 +233,19 @@ class Encoder:
         return out
 
 
+def id_counts(spark: SparkSession, text: Column, tokenizer: str) -> Column:
+    """Number of ids of each text, without an end id; null is empty."""
+    prepare(spark)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder.of(tokenizer)
+        for b in batches:
+            yield pa.array([len(encoder.encode([t or ""])[0]) for t in b.to_pylist()], pa.int64())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "long")(text)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, block: int = BLOCK_IDS) -> list[tuple[int, str, int, int]]:
     """Writes shards in ascending order of id_col into folder (a new one). Returns the manifest: (shard, path, n_docs, n_ids) of each.
 
@@ -260,7 +274,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: s
         shard.save(fs, f"{base}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([name]), pa.array([len(shard.index)], pa.int64()), pa.array([shard.n_ids], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ranged = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ranged = ranged.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     return [tuple(r) for r in map_arrow(ranged, run, "shard long, path string, n_docs long, n_ids long").collect()]

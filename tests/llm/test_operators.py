@@ -150,10 +150,19 @@ def test_mixture_keeps_budgets(spark, ratio, epochs):
     used = got.groupby(["__domain", "__lang", "__source"])["used"].sum().to_dict()
     longest = got.groupby(["__domain", "__lang", "__source"])["__tokens"].max().to_dict()
     assert len(got) == 400 and got["__copies"].between(0, epochs).all()
+    order = lambda epoch, i: int(hashlib.md5(f"7:{epoch}:{i}".encode()).hexdigest()[:15], 16)
     for k, share in shares.items():
         assert share - longest[k] <= used[k] <= share, k
         copies = got[(got["__domain"] == k[0]) & (got["__lang"] == k[1]) & (got["__source"] == k[2])]["__copies"]
         assert copies.max() - copies.min() <= 1  # an epoch is whole before the next one begins
+        own = got[(got["__domain"] == k[0]) & (got["__lang"] == k[1]) & (got["__source"] == k[2])]
+        whole = share // tokens[k] if tokens[k] else epochs * (share > 0)
+        left, expected = share - whole * tokens[k], {}
+        for i, n in sorted(zip(own["doc_id"], own["__tokens"], strict=True), key=lambda x: order(whole, x[0])):
+            left -= n
+            expected[i] = whole + (left >= 0 and whole < epochs and share > whole * tokens[k])
+        if weight(k):
+            assert dict(zip(own["doc_id"], own["__copies"], strict=True)) == expected
 
 
 def test_mixture_of_nothing(spark):
@@ -164,6 +173,33 @@ def test_mixture_of_nothing(spark):
     assert mix_documents(df.limit(0)).count() == 0
 
 
+CLASHES = ["full", "rest", "bits", "end", "last", "share", "weight", "capacity", "before", "upto", "t", "c0", "kept", "fp", "key", "least", "n", "root", "__own", "__tokens", "__order", "__words", "spans", "score"]
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    from redactory.llm.mixture import COLUMNS, mix_documents, mixture_rows
+
+    df = documents(spark, ["a b", "c", None, "d e f"], **{c: i for i, c in enumerate(CLASHES)})
+    mixed = mix_documents(df)
+    assert mixed.columns == [c for c in df.columns if c not in COLUMNS] + list(COLUMNS)
+    plain = {r.doc_id: r["__copies"] for r in mix_documents(documents(spark, ["a b", "c", None, "d e f"])).collect()}
+    assert {r.doc_id: r["__copies"] for r in mixed.collect()} == plain
+    rows = mixture_rows(df)
+    assert rows.columns == df.columns and all(r[c] == i for r in rows.collect() for i, c in enumerate(CLASHES) if c not in COLUMNS)
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    df = documents(spark, [" ".join(words[i : i + 80]) for i in range(0, 220, 20)] + [None, ""], **{c: i for i, c in enumerate(CLASHES)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, sf_dir)
+        assert got.columns == df.columns, name
+        assert all(r.full == 0 and r.rest == 1 and r.end == 3 and r.kept == 12 for r in got.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).count() == 13
+
+
 # --- 3: near-duplicates
 
 
@@ -305,6 +341,67 @@ def test_jaccard_classes_follow_chains_in_blocks(spark, monkeypatch):
     assert not shingles.confirmed_links(rows, classes, partial(shingle_hashes, width=5), 0.5, 0.95).count()
 
 
+def test_texts_of_one_fingerprint_keep_their_own_links(spark):
+    """Texts may share a fingerprint and have other signatures: links of each count."""
+    from redactory.llm.simhash import fingerprints, near_dedup
+
+    from redactory.llm.simhash import fingerprint
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    while True:  # the words once more: other shingles at the seam only
+        base = [word() for _ in range(3000)]
+        if fingerprint(" ".join(base), 5) == fingerprint(" ".join(base + base), 5):
+            break
+    near = list(base)
+    for i in range(30, 3000, 60):
+        near[i] = word()
+    texts = [" ".join(base), " ".join(base + base), " ".join(near), " ".join(near + near), "quite another text of a few words"]
+    prints = {r.doc_id: r.fp for r in fingerprints(documents(spark, texts), width=5).collect()}
+    assert prints[0] == prints[1]
+    assert sorted(r.doc_id for r in near_dedup(documents(spark, texts), width=5, alike=0.6).collect()) == [0, 4]
+
+
+def test_groups_of_a_band_are_dealt_by_blocks(spark, monkeypatch):
+    """A band that many unlike texts share is split, and no link is lost."""
+    from redactory.llm import shingles
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 256, (90, shingles.HASHES), dtype=np.uint8)
+    rows[60:] = rows[30:60]  # alike to others in distant blocks
+    rows[60:, :20] = rng.integers(0, 256, (30, 20), dtype=np.uint8)
+    reps = spark.createDataFrame([(i, [7, 1000 + i % 45], bytearray(r.tobytes())) for i, r in enumerate(rows)], "key long, bands array<long>, signature binary").repartition(5)
+    for size in (2048, 8, 1):
+        monkeypatch.setattr(shingles, "GROUP", size)
+        links = {(min(a, b), max(a, b)) for a, b in shingles.alike_links(reps, 0.6).collect()}
+        assert {(i, i + 30) for i in range(30, 60)} <= links and all(b - a == 30 for a, b in links)
+    shared = spark.createDataFrame([(i, [5]) for i in range(20)] + [(50, [6]), (51, [9]), (52, [9])], "key long, bands array<long>")
+    monkeypatch.setattr(shingles, "GROUP", 4)
+    got = shingles.shared_bands(shared).collect()
+    assert sorted((r.key, r.value) for r in got if r.key is not None) == sorted([(i, 5) for i in range(20)] + [(51, 9), (52, 9)])
+    assert collections.Counter(r.block for r in got if r.value == 5 and r.key is not None) == dict.fromkeys(range(5), 4)
+    assert [(r.value, r.block) for r in got if r.key is None] == [(5, 5)]
+
+
+def test_near_copies_are_found(spark):
+    """Recall of pairs with a similarity of 0.8 to 0.95."""
+    from redactory.llm.simhash import near_dedup
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, alike = [], 0
+    for g in range(150):
+        own = [word() for _ in range(204)]
+        changed = list(own)
+        for i in range(1 + g % 4):
+            changed[10 + 40 * i] = word()
+        a, b = ({tuple(x[i : i + 5]) for i in range(200)} for x in (own, changed))
+        alike += len(a & b) / len(a | b) >= 0.8
+        texts += [" ".join(own), " ".join(changed)]
+    kept = near_dedup(documents(spark, texts), width=5, alike=0.6).count()
+    assert alike >= 140 and 300 - kept >= 0.99 * alike
+
+
 def test_near_dedup_keeps_texts_without_ids(spark):
     from redactory.llm.simhash import near_dedup
 
@@ -679,7 +776,9 @@ def test_language(spark, sf_dir):
     for t, p in zip(texts, model.scores(texts), strict=True):
         z = subword_counts(t) @ model.table / max(1, subword_counts(t).sum())
         assert np.allclose(p, np.exp(z) / np.exp(z).sum())
-    rows = {r.doc_id: r for r in identify(documents(spark, [None, "123 ...", "日本", "abc"], score=3).select("doc_id", "text"), model).collect()}
+    odd = identify(documents(spark, [None, "123 ...", "日本", "abc"], score=3, lang_pred="x", rejected=1, keep="y"), model)
+    assert odd.columns == ["doc_id", "lang", "source", "n_chars", "keep", "lang_pred", "score", "rejected"]
+    rows = {r.doc_id: r for r in odd.collect()}
     assert rows[0].lang_pred == rows[1].lang_pred == "und" and rows[0].score == 0 and rows[2].lang_pred in "ab"
     assert learn(documents(spark, ["x"]).limit(0)) is None
     assert identify(documents(spark, ["x"]).select("doc_id", "text"), None).first().lang_pred == "und"
@@ -694,6 +793,13 @@ def test_language_of_copies_is_learned(spark):
     model = learn(df, per_language=20)
     assert all(r.lang_pred == r.lang for r in identify(df.distinct(), model).collect())
     assert learn(df.where("lang = 'fi'").where(F.col("text") == own[0]), per_language=20).languages == ["fi"]
+    for text in ("one", "two words", "a third text of some words", "", "123", "été"):  # copies of one text, whatever its hash
+        model = learn(spark.createDataFrame([(text, "x")] * 5000, "text string, lang string"))
+        assert model.languages == ["x"] and model.scores([b"any"])[0, 0] == pytest.approx(1)
+    assert learn(spark.createDataFrame([("one row", "x")], "text string, lang string")).languages == ["x"]
+    # a sample of fewer rows than languages has one of some
+    many = spark.createDataFrame([(f"text {i} of it", f"l{i % 30}") for i in range(90)], "text string, lang string")
+    assert len(learn(many).languages) == 30 and len(learn(many, most_rows=10).languages) == 10
 
 
 # --- 10: language model
@@ -708,7 +814,9 @@ def test_kneser_ney_equals_brute_force(spark):
     df = documents(spark, texts, score=1).repartition(3)
     train = [t for i, t in enumerate(texts) if i % 3]
     model = count_model(df.where("doc_id % 3 <> 0"), shards=7)
-    got = {r.doc_id: r for r in score(df.select("doc_id", "text"), model).collect()}
+    scored = score(df.withColumns({"n_once": F.lit(1), "perplexity": F.lit("x")}).drop("lang", "source", "n_chars"), model)
+    assert scored.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", "n_unseen", "n_once"]
+    got = {r.doc_id: r for r in scored.collect()}
     own = lambda t: [*(t or "").encode().lower().split(), None]
     one = collections.Counter(w for t in train for w in own(t))
     two = collections.Counter(p for t in train for p in zip([0, *own(t)], own(t), strict=False))
@@ -732,8 +840,11 @@ def test_kneser_ney_equals_brute_force(spark):
         w = own(t)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(one[x] > 0 for x in w), n)
         assert got[i].base_score == pytest.approx(sum(math.log10((one[x] + 0.5) / (n + 0.5 * (len(one) + 1))) for x in w))
+        assert (got[i].n_unseen, got[i].n_once) == tuple(sum(two[x] == k for x in zip([0, *w], w, strict=False)) for k in (0, 1))
         assert got[i].score == pytest.approx(sum(math.log10(p(u, x)) for u, x in zip([0, *w], w, strict=False)))
     assert sum(p(b"w1", w) for w in one) + p(b"w1", b"never seen") == pytest.approx(1)
+    split = count_model(df.where("doc_id % 3 <> 0"), shards=200)  # contexts over 25 shards
+    assert {r.doc_id: (r.score, r.n_once) for r in score(df.select("doc_id", "text"), split).collect()} == {i: (pytest.approx(r.score), r.n_once) for i, r in got.items()}
     empty = count_model(df.limit(0))
     assert score(df.select("doc_id", "text"), empty).count() == len(texts)
 

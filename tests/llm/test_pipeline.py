@@ -10,21 +10,20 @@ pytest.importorskip("public_tokenizers")
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     import corpus_pipeline
     from redactory.llm.decontam import WORD_BYTES
+    from pyspark.sql import functions as F
     from redactory.llm.mixture import mix_documents
     from redactory.llm.quality import quality_report
-    from redactory.llm.shingles import bands_of, min_hashes
     from redactory.llm.simhash import shingle_hashes
-    from test_operators import brute_fingerprint, brute_tokens
+    from test_operators import brute_tokens
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r.doc_id for r in quality_report(docs).where("kept").collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept)
-    prints, label = [brute_fingerprint(t, 5) for _, t in rows], list(range(len(rows)))
-    low = [min_hashes(shingle_hashes(t or "", 5)) for _, t in rows]
-    alike = lambda i, j: bool(set(bands_of(low[i]).tolist()) & set(bands_of(low[j]).tolist())) and (low[i].astype("u1") == low[j].astype("u1")).mean() >= 0.75
+    # the rule of the stage: five words, an exact Jaccard similarity of 0.8 or more
+    sets, label = [set(shingle_hashes(t or "", 5).tolist()) for _, t in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if label[i] != label[j] and ((prints[i] ^ prints[j]).bit_count() <= 4 or alike(i, j)):
+            if label[i] != label[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
                 least, most = sorted((label[i], label[j]))
                 label = [least if x == most else x for x in label]
     rows = [r for i, r in enumerate(rows) if label[i] == i]
@@ -32,7 +31,8 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     windows = {tuple(w[k : k + min(10, len(w))]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if (w := words(r.text)) for k in range(len(w) - min(10, len(w)) + 1)}
     sizes = {len(x) for x in windows}
     rows = [(i, t) for i, t in rows if not any(tuple(w[k : k + m]) in windows for w in [words(t)] for m in sizes for k in range(len(w) - m + 1))]
-    copies = {r.doc_id: r["__copies"] for r in mix_documents(docs.where(docs.doc_id.isin([i for i, _ in rows]))).collect()}
+    lengths = F.create_map(*(F.lit(x) for i, _, n, _ in brute_tokens(rows) for x in (i, n - 1)))  # budgets are in ids, without the end
+    copies = {r.doc_id: r["__copies"] for r in mix_documents(docs.where(docs.doc_id.isin([i for i, _ in rows])), tokens=lengths[F.col("doc_id")]).collect()}
     mixed = [(i, t) for i, t in rows for _ in range(copies[i])]
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert got == sorted(brute_tokens(mixed))
