@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from redactory.functions.lexicon import CREDENTIAL_SYMBOLS, ENTITY_TYPES, SEVERITIES, TYPE_WORDS
 
+# Quotes, and below the characters of credentials, account names and stops.
 QUOTES = "\"'`"
 SYMBOL_CLASS = "[" + re.escape(CREDENTIAL_SYMBOLS) + "]"
 _SECRET = re.compile(r"(?=[A-Za-z0-9_-]+\Z)(?=.*[A-Za-z])(?=.*[0-9])|(?=[A-Za-z0-9+/]+={0,2}\Z)(?:.*\+|.*=\Z)|(?=.*[A-Za-z])(?=.*[0-9])(?=.*" + SYMBOL_CLASS + ")", re.S)
 _BAD_IN_SECRET = re.compile(r"[\s\"'`]")
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9._@-]*[A-Za-z0-9]\Z")
 _TYPES = frozenset(TYPE_WORDS)
+_LITERAL = re.compile("[0-9]|" + SYMBOL_CLASS)
 _STOPS = ".,;:!?)]}"
 
 
@@ -64,6 +66,18 @@ def assigned_literal(value: Column, whole: Column) -> Column:
     return (F.length(value) > 0) & (quoted | value.rlike("[0-9]") | value.rlike(SYMBOL_CLASS))
 
 
+def is_assigned_literal(value: str, whole: str) -> bool:
+    """assigned_literal() of one value."""
+    if value and _LITERAL.search(value):
+        return True
+    at = whole.find(value) if value else -1
+    while at >= 0:
+        if at and whole[at - 1] in QUOTES and whole[at + len(value) : at + len(value) + 1] in (*QUOTES,):
+            return True
+        at = whole.find(value, at + 1)
+    return False
+
+
 def unquoted(token: str, start: int) -> tuple[str, int]:
     """The value inside all layers of quotes, without stops at its end, and where it begins."""
     while len(inner := strip_quotes(token)) < len(token):
@@ -116,6 +130,18 @@ def entity_type_column(rule_id: Column, category: Column) -> Column:
     return out
 
 
+def luhn_valid(value: str) -> bool:
+    """The check digit of a number; separators are passed over."""
+    total, double = 0, False
+    for c in reversed(value):
+        if c in " -":
+            continue
+        d = ord(c) - 48
+        total += (2 * d - 9 * (d > 4)) if double else d
+        double = not double
+    return total % 10 == 0
+
+
 def within_edits(a: str, b: str, most: int) -> bool:
     """Whether a becomes b by at most `most` insertions, deletions, substitutions or swaps of neighbours (none edited twice)."""
     if abs(len(a) - len(b)) > most:

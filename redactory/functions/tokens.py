@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-#: Quoted stretches (spaces allowed) whose opening quote isn't escaped, else runs without space or quote.
-PLAIN = r"""(?<!\\)"[^"]*"|(?<!\\)'[^']*'|[^\s\x{A0}"']+"""
-#: Quoted stretches without spaces, else runs of word characters, dots, slashes, at signs and hyphens.
-PROXIMITY = r"""(?<!\\)"[^"\s\x{A0}]*"|(?<!\\)'[^'\s\x{A0}]*'|(?<!\\)`[^`\s\x{A0}]*`|[A-Za-z0-9_./@-]+"""
-_PLAIN, _PROXIMITY = (re.compile(x.replace(r"\x{A0}", "")) for x in (PLAIN, PROXIMITY))
+from redactory.functions.arrays import batched, lists, strings
+
+# Quoted stretches (spaces allowed) whose opening quote isn't escaped, else runs without space or quote.
+PLAIN = r"""(?<!\\)"[^"]*"|(?<!\\)'[^']*'|[^\s"']+"""
+# Quoted stretches without spaces, else runs of word characters, dots, slashes, at signs and hyphens.
+PROXIMITY = r"""(?<!\\)"[^"\s]*"|(?<!\\)'[^'\s]*'|(?<!\\)`[^`\s]*`|[A-Za-z0-9_./@-]+"""
+_PLAIN, _PROXIMITY = map(re.compile, (PLAIN, PROXIMITY))
 
 Token = tuple[str, int, int]
 
@@ -29,37 +32,35 @@ def proximity_tokens(text: str) -> list[Token]:
 
 
 def placed(text: Column, pattern: str) -> Column:
-    """array<struct<text, start, end>> of the matches of a pattern (no capturing groups), in code points.
+    """array<struct<text, start, end>> of the matches of a pattern, in code points. A text is passed over once."""
+    return batched(partial(_placed, pattern), "array<struct<text:string,start:int,end:int>>", text)
+
 
-    Each piece is what lies before a match with the match, from where the last piece ended, so lengths add up to places. The pattern is
-    anchored there (\\G): the end of a text without matches is passed over once.
-    """
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?(?:{pattern})"), F.lit(0))
-    own = F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?({pattern})"), F.lit(1))
-    sized = F.zip_with(pieces, own, lambda p, m: F.struct(m.alias("text"), F.length(p).alias("n")))
-    none = F.array().cast("array<struct<text:string,start:int,end:int>>")
-    step = lambda acc, x: F.struct(
-        F.concat(acc["spans"], F.array(F.struct(x["text"].alias("text"), (acc["at"] + x["n"] - F.length(x["text"])).alias("start"), (acc["at"] + x["n"]).alias("end")))).alias("spans"), (acc["at"] + x["n"]).alias("at")
-    )
-    return F.aggregate(sized, F.struct(none.alias("spans"), F.lit(0).alias("at")), step, lambda acc: acc["spans"])
+def _placed(pattern: str, texts: pa.Array) -> pa.Array:
+    find = re.compile(pattern)
+    return lists([_tokens(find, t) for t in strings(texts)], ("text", "start", "end"), (pa.string(), pa.int32(), pa.int32()))
 
 
 def lines(text: Column) -> Column:
     """array<struct<text, start>> of the lines with something on them; a line ends before its line feed and carriage return."""
-    raw = F.split(text, "\n")
-    empty = F.array().cast("array<struct<text:string,start:int>>")
-    step = lambda acc, x: F.struct(F.concat(acc["rows"], F.array(F.struct(x.alias("text"), acc["at"].alias("start")))).alias("rows"), (acc["at"] + F.length(x) + 1).alias("at"))
-    rows = F.aggregate(raw, F.struct(empty.alias("rows"), F.lit(0).alias("at")), step, lambda acc: acc["rows"])
-    last = F.size(raw) - 1
-    cut = F.transform(rows, lambda r, i: F.struct(F.when(i < last, F.regexp_replace(r["text"], r"\r\z", "")).otherwise(r["text"]).alias("text"), r["start"].alias("start")))
-    return F.filter(cut, lambda r: r["text"].rlike(r"[^\s\x{A0}\x{FEFF}]"))
+    return batched(_lines, "array<struct<text:string,start:int>>", text)
+
+
+def _lines(texts: pa.Array) -> pa.Array:
+    return lists([line_pieces(t) for t in strings(texts)], ("text", "start"), (pa.string(), pa.int32()))
 
 
 def line_pieces(text: str) -> list[tuple[str, int]]:
     """(line, start) of the lines with something on them."""
     out, at = [], 0
-    for line in re.split(r"(\r?\n)", text):
-        if line not in ("\n", "\r\n") and line.strip():
-            out.append((line, at))
-        at += len(line)
+    rows = text.split("\n")
+    for i, line in enumerate(rows):
+        own = line.removesuffix("\r") if i < len(rows) - 1 else line
+        if own.strip(BLANK):
+            out.append((own, at))
+        at += len(line) + 1
     return out
+
+
+# Characters that leave a line blank.
+BLANK = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"

@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+
+import pyarrow as pa
+from pyspark.sql import Column
 
 from redactory.functions import lexicon as fixed
+from redactory.functions.arrays import batched, strings
 from redactory.functions.predicates import digits_of, is_account_name, is_secret_shaped, strip_quotes, trim_word, unquoted, within_edits
 from redactory.functions.tokens import Token, plain_tokens, proximity_tokens
-from redactory.operators.infra import Found, is_internal
+from redactory.operators.infra import is_internal
+from redactory.operators.spans import SPANS, Found, span_lists
 
 _HOST = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+){1,4}\Z")
 _LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -213,3 +218,15 @@ def contextual_spans(text: str, *, pii: bool = True, infra: bool = True, secrets
         own, seen = credentials(text)
         out += own
     return out, seen
+
+
+_BY_WORDS = {"national_ids": national_ids, "government_ids": government_ids, "numbers": numbers, "person_names": person_names, "host_names": host_names, "ports": ports}
+
+
+def _by_words(detector: str, texts: pa.Array) -> pa.Array:
+    return span_lists([_BY_WORDS[detector](Words(t)) for t in strings(texts)])
+
+
+def spans_by_words(detector: str, text: Column) -> Column:
+    """Spans of one of the detectors that read words (national_ids, government_ids, numbers, person_names, host_names, ports)."""
+    return batched(partial(_by_words, detector), SPANS, text)

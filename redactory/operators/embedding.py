@@ -1,26 +1,29 @@
 """Embeddings, category centroids, routing, the business flag and semantic keywords.
 
-The built-in embedder hashes words and their trigrams into 256 buckets, in Column expressions. Others come in as an Embedder (see
+The built-in embedder hashes words and their trigrams into 256 buckets, batch by batch in numpy. Others come in as an Embedder (see
 redactory.sources.embedder) and give a vector column of their own.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
-from functools import lru_cache
+from collections.abc import Callable, Mapping
+from functools import lru_cache, partial
 from importlib import resources
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.functions import lexicon as fixed
-from redactory.functions.columns import let
+from redactory.functions.arrays import batched, flat_of, lists, strings
 from redactory.functions.predicates import is_secret_shaped, trim_word, unquoted
 from redactory.functions.tokens import plain_tokens
-from redactory.operators.infra import Found, Ranges
-from redactory.operators.spans import no_spans, span
+from redactory.operators.infra import Ranges
+from redactory.operators.spans import Found, no_spans, span
 
 DIM = 256
 #: Constants of the hash (FNV-1a, 32 bits): fixed values.
@@ -35,29 +38,47 @@ def load_data(name: str) -> dict | None:
         return None
 
 
-# --- hashing embedder: columns
+# --- hashing embedder
 
 
-def grams(text: Column) -> Column:
-    """Words of a-z and 0-9 in lower case, then the trigrams of words of four letters or more, marked by a hash sign."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    threes = F.transform(F.filter(words, lambda w: F.length(w) >= 4), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.concat(F.lit("#"), F.substring(w, i, F.lit(3)))))
-    return F.concat(words, F.flatten(threes))
+def _buckets(word: str, dim: int) -> tuple[int, ...]:
+    """Buckets of a word and, if it has four letters or more, of its trigrams, which a hash sign marks.
+
+    A bucket is the FNV-1a hash as a signed 32-bit number, without its sign, modulo the dimension.
+    """
+    out = []
+    for g in (word, *("#" + word[i : i + 3] for i in range(len(word) - 2) if len(word) >= 4)):
+        h = FNV_START
+        for c in g.encode("ascii"):
+            h = (h ^ c) * FNV_PRIME & MASK
+        out.append(min(h, MASK + 1 - h) % dim)
+    return tuple(out)
+
+
+_remembered = lru_cache(maxsize=200_000)(_buckets)
+_WORDS = re.compile("[a-z0-9]+")
+
+
+def vector_of(text: str, dim: int = DIM) -> np.ndarray:
+    """A vector of length 1; zeros for a text without words."""
+    own = chain.from_iterable(_remembered(w, dim) if len(w) <= 60 else _buckets(w, dim) for w in _WORDS.findall(text.lower()))
+    counts = np.bincount(np.fromiter(own, np.int64), minlength=dim).astype(float)
+    return counts / (np.sqrt((counts**2).sum()) or 1.0)
 
 
-def bucket(gram: Column, dim: int = DIM) -> Column:
-    """Index of a gram: its FNV-1a hash as a signed 32-bit number, without sign, modulo the dimension."""
-    codes = F.transform(F.split(gram, ""), lambda c: F.ascii(c).cast("long"))
-    h = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(FNV_START), lambda acc, c: (acc.bitwiseXOR(c) * FNV_PRIME).bitwiseAND(F.lit(MASK)))
-    return let(h, lambda x: (F.least(x, F.lit(MASK + 1) - x) % dim).cast("int"))
+def embed_text(text: str, dim: int = DIM) -> list[float]:
+    return vector_of(text, dim).tolist()
+
+
+def _embed(dim: int, texts: pa.Array) -> pa.Array:
+    rows = [vector_of(t, dim) for t in strings(texts)]
+    values = np.concatenate(rows) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), pa.array(values))
 
 
 def embed(text: Column, dim: int = DIM) -> Column:
     """array<double> of length 1 (zeros for a text without words)."""
-    at = F.transform(grams(text), lambda g: bucket(g, dim))
-    counts = lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(a) - F.size(F.array_remove(a, i))).cast("double"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return let(let(at, counts), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0))))
+    return batched(partial(_embed, dim), "array<double>", text)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -65,21 +86,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-# --- hashing embedder: one value
-
-
-def embed_text(text: str, dim: int = DIM) -> list[float]:
-    out = [0.0] * dim
-    words = re.findall("[a-z0-9]+", text.lower())
-    for g in (*words, *("#" + w[i : i + 3] for w in words if len(w) >= 4 for i in range(len(w) - 2))):
-        h = FNV_START
-        for c in g.encode("ascii"):
-            h = (h ^ c) * FNV_PRIME & MASK
-        out[min(h, MASK + 1 - h) % dim] += 1
-    norm = math.sqrt(sum(x * x for x in out)) or 1.0
-    return [x / norm for x in out]
-
-
 # --- centroids and routing
 
 
@@ -100,26 +106,37 @@ def built_in_centroids(dim: int = DIM) -> tuple[tuple[str, tuple[float, ...]], .
     """(category, vector) from the package's example sentences; empty if these are missing."""
     out = []
     for category, examples in (load_data("category_examples.json") or {}).items():
-        rows = [embed_text(e, dim) for e in examples]
-        mean = [sum(x) / len(rows) for x in zip(*rows, strict=True)]
-        norm = math.sqrt(sum(x * x for x in mean)) or 1.0
-        out.append((category, tuple(x / norm for x in mean)))
+        mean = np.mean([vector_of(e, dim) for e in examples], axis=0)
+        out.append((category, tuple((mean / (np.sqrt((mean**2).sum()) or 1.0)).tolist())))
     return tuple(out)
 
 
-def scores(vector: Column, known: tuple[tuple[str, tuple[float, ...]], ...] | None = None) -> Column:
+Centroids = tuple[tuple[str, tuple[float, ...]], ...]
+
+
+def ranked(vectors: np.ndarray, known: Centroids) -> list[list[tuple[str, float]]]:
+    """(category, score) of each vector, best first; of equal scores the category that comes first."""
+    dots = vectors @ np.array([w for _, w in known]).T
+    return [[(known[i][0], float(row[i])) for i in sorted(range(len(known)), key=lambda i: -row[i])] for row in dots]
+
+
+def _scores(known: Centroids, vectors: pa.Array) -> pa.Array:
+    flat, at = flat_of(vectors)
+    dim, values, out = len(known[0][1]), flat.to_numpy(zero_copy_only=False), [[] for _ in range(len(vectors))]
+    fits = np.flatnonzero(np.diff(at) == dim)
+    if len(fits):
+        rows = values[at[fits][:, None] + np.arange(dim)].astype(float)
+        for i, found in zip(fits, ranked(rows, known), strict=True):
+            out[i] = found
+    return lists(out, ("category", "score"), (pa.string(), pa.float64()))
+
+
+def scores(vector: Column, known: Centroids | None = None) -> Column:
     """array<struct<category, score>>, best first. Empty if there are no centroids or the vector is of another length."""
     known = built_in_centroids() if known is None else known
-    none = F.array().cast("array<struct<category:string,score:double>>")
     if not known:
-        return none
-
-    def ranked(v: Column) -> Column:
-        each = F.array(*(F.struct(cosine(v, F.array(*map(F.lit, w))).alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, w) in enumerate(known)))
-        ordered = F.transform(F.reverse(F.array_sort(each)), lambda x: F.struct(x["category"].alias("category"), x["score"].alias("score")))
-        return F.when(F.size(v) == len(known[0][1]), ordered).otherwise(none)
-
-    return let(vector, ranked)
+        return F.array().cast("array<struct<category:string,score:double>>")
+    return batched(partial(_scores, known), "array<struct<category:string,score:double>>", vector)
 
 
 def route(vector: Column, least: float = fixed.ROUTE_MIN, most: int = 10) -> Column:
@@ -179,13 +196,14 @@ def best_seeds(words: DataFrame, seeds: DataFrame, least: float = fixed.SEMANTIC
     return best.select("word", "b.*").where(F.col("score") >= least)
 
 
-def semantic_spans(text: str, taken: list[tuple[int, int]], nearest: dict[str, tuple[str, str, str, str, float]]) -> list[Found]:
+def semantic_spans(text: str, taken: list[tuple[int, int]], nearest: Mapping[str, Nearest] | Callable[[str], Nearest | None], least: float = fixed.SEMANTIC_MIN) -> list[Found]:
     """Spans of the first secret-shaped token around each word that is near a seed. nearest: group, label, category, severity, score."""
     tokens, used, out = plain_tokens(text), Ranges(taken), []
+    look = nearest if callable(nearest) else nearest.get
     free = [not used.touch(a, b) for _, a, b in tokens]
     for i, (raw, _, _) in enumerate(tokens):
         word = trim_word(raw)
-        if not free[i] or not _is_candidate(word) or (hit := nearest.get(word.lower())) is None:
+        if not free[i] or not _is_candidate(word) or (hit := look(word.lower())) is None or hit[4] < least:
             continue
         group, label, category, severity, score = hit
         for j in range(max(0, i - fixed.SEMANTIC_WINDOW), min(len(tokens), i + fixed.SEMANTIC_WINDOW + 1)):
@@ -196,6 +214,41 @@ def semantic_spans(text: str, taken: list[tuple[int, int]], nearest: dict[str, t
     return sorted(out, key=lambda x: x[5])
 
 
+Nearest = tuple[str, str, str, str, float]
+
+
+@lru_cache(maxsize=2)
+def _seed_vectors(dim: int = DIM) -> tuple[list[tuple[str, str, str, str]], np.ndarray]:
+    rows = [(g, x["label"], x["category"], x["severity"], s) for g, x in (load_data("semantic_seeds.json") or {}).items() for s in x["seeds"]]
+    return [r[:4] for r in rows], np.array([vector_of(r[4], dim) for r in rows]).reshape(-1, dim)
+
+
+@lru_cache(maxsize=100_000)
+def nearest_seed(word: str) -> Nearest | None:
+    """The nearest seed of a word by the built-in embedder, with its score."""
+    names, vectors = _seed_vectors()
+    if not names:
+        return None
+    each = vectors @ vector_of(word)
+    best = int(each.argmax())
+    return (*names[best], float(each[best]))
+
+
+def nearest_words(df: DataFrame, key: list[str], vectors: DataFrame, seeds: DataFrame, text_col: str = "text", least: float = fixed.SEMANTIC_MIN) -> DataFrame:
+    """df with nearest (array<struct<word, group, label, category, severity, score>>): the words of each text that are near a seed.
+
+    vectors: word, vector of all words by an embedder of one's own (see semantic_words). Only distinct words meet the seeds.
+    """
+    words = df.select(*key, F.explode(batched(_semantic_words, "array<string>", F.col(text_col))).alias("word"))
+    known = best_seeds(vectors.join(words.select("word").distinct(), "word", "left_semi"), seeds, least)
+    own = words.join(known, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "group", "label", "category", "severity", "score")).alias("nearest"))  # near words of one text
+    return df.join(own, key, "left")
+
+
+def _semantic_words(texts: pa.Array) -> pa.Array:
+    return pa.array([semantic_words(t) for t in strings(texts)], pa.list_(pa.string()))
+
+
 def seed_table(spark: SparkSession) -> DataFrame:
     rows = [(g, x["label"], x["category"], x["severity"], s) for g, x in (load_data("semantic_seeds.json") or {}).items() for s in x["seeds"]]
     return spark.createDataFrame(rows, "group string, label string, category string, severity string, seed string")

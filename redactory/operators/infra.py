@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from redactory.functions.lexicon import HOME_ROOTS, IDENTIFYING_ROOTS, INTERNAL_HINTS, LOOPBACK_HOSTS, PLAIN_IPV4, PLAIN_IPV6, REAL_ROOTS
-
-Found = tuple[str, str, str, str, str, int, int]  # the fields of a span
+from redactory.operators.spans import Found
 
 # Patterns of the rules.
 _URL = re.compile(r"(?<![A-Za-z0-9_])https?://[^\s\"'`<>\\]+")
@@ -111,6 +110,11 @@ class Ranges:
         i = bisect_left(self.starts, end)
         return i > 0 and self.reach[i - 1] > start
 
+    def hold(self, start: int, end: int) -> bool:
+        """Whether one of the ranges, which must be disjoint, contains a range."""
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.ranges[i - 1][1] >= end
+
 
 def _path_label(home: bool) -> str:
     return "File Path (home directory — exposes account name)" if home else "File Path"

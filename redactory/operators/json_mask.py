@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redactory.functions.arrays import batched, lists
+from redactory.functions.comments import language_of
 from redactory.functions.lexicon import FIELD_NAMES
-from redactory.operators.redact import hidden, mint, redact, restore_text, typed
+from redactory.operators.redact import hidden, mint, pairs_of, redact, restore_text, typed
 from redactory.operators.scan import ScanConfig, detect
 from redactory.operators.spans import SPANS, span
+from redactory.session import materialize
 
 
 def field_name(key: str) -> str:
@@ -59,40 +62,33 @@ def strings_of(document: str | None) -> list[tuple[str | None, str]]:
     return out
 
 
-def _leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("key", pa.string()), ("text", pa.string())]))
-    for b in batches:
-        yield pa.array([[{"key": k, "text": t} for k, t in strings_of(x)] for x in b.to_pylist()], kind)
+def _leaves(documents: pa.Array) -> pa.Array:
+    return lists([strings_of(x) for x in documents.to_pylist()], ("key", "text"), (pa.string(), pa.string()))
 
 
-def _filled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for b in batches:
-        out = []
-        for x in b.to_pylist():
-            texts = iter(x["texts"] or [])
-            out.append(x["json"] if not x["texts"] else json.dumps(rewrite(json.loads(x["json"]), lambda text, key: next(texts)), ensure_ascii=False, separators=(",", ":")))  # noqa: B023
-        yield pa.array(out, pa.string())
+def _filled(documents: pa.Array, texts: pa.Array) -> pa.Array:
+    """Documents with their strings replaced, in order; the text as it is where there are none."""
+    out = []
+    for document, own in zip(documents.to_pylist(), texts.to_pylist(), strict=True):
+        left = iter(own or [])
+        out.append(document if not own else json.dumps(rewrite(json.loads(document), lambda text, key: next(left)), ensure_ascii=False, separators=(",", ":")))  # noqa: B023
+    return pa.array(out, pa.string())
 
 
-def _restored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for b in batches:
-        out = []
-        for x in b.to_pylist():
-            pairs = [(p["token"], p["value"]) for p in x["pairs"] or []]
-            try:
-                out.append(x["json"] and json.dumps(rewrite(json.loads(x["json"]), lambda text, key: restore_text(text, pairs)), ensure_ascii=False, separators=(",", ":")))  # noqa: B023
-            except ValueError:
-                out.append(x["json"])
-        yield pa.array(out, pa.string())
-
-
-for _f in (_leaves, _filled, _restored):
-    _f.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+def _restored(documents: pa.Array, pairs: pa.Array) -> pa.Array:
+    out = []
+    for document, own in zip(documents.to_pylist(), pairs.to_pylist(), strict=True):
+        known = [(p["token"], p["value"]) for p in own or []]
+        try:
+            out.append(document and json.dumps(rewrite(json.loads(document), lambda text, key: restore_text(text, known)), ensure_ascii=False, separators=(",", ":")))  # noqa: B023
+        except ValueError:
+            out.append(document)
+    return pa.array(out, pa.string())
 
 
 def json_strings(documents: DataFrame, key: list[str], json_col: str) -> DataFrame:
     """A row for each string: the key columns, leaf (its number), field, text."""
-    taken = documents.select(*key, F.arrow_udf(_leaves, "array<struct<key:string,text:string>>")(F.col(json_col)).alias("leaves"))
+    taken = documents.select(*key, batched(_leaves, "array<struct<key:string,text:string>>", F.col(json_col)).alias("leaves"))
     return taken.select(*key, F.posexplode("leaves").alias("leaf", "x")).select(*key, "leaf", F.col("x.key").alias("field"), F.col("x.text").alias("text"))
 
 
@@ -104,21 +100,24 @@ def by_field(detected: DataFrame) -> DataFrame:
     return detected.withColumn("spans", F.when(name.isin(list(FIELD_NAMES)) & (F.length("text") > 0), F.array(whole).cast(SPANS)).otherwise(F.col("spans")))
 
 
-def redact_json(documents: DataFrame, session: str, key: list[str], json_col: str = "json", config: ScanConfig | None = None) -> tuple[DataFrame, DataFrame]:
+def redact_json(documents: DataFrame, session: str, key: list[str], json_col: str = "json", config: ScanConfig | None = None, issued: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with redacted, mappings of the sessions). key identifies a document and orders a session's documents."""
-    leaves = json_strings(documents, [session, *[k for k in key if k != session]], json_col)
-    found = by_field(detect(leaves, "text", config or ScanConfig(by_line=True)))
+    keys = [session, *[k for k in key if k != session]]
+    # strings are scanned once: numbering, the texts and their places all read what was found
+    found = materialize(by_field(detect(json_strings(documents, keys, json_col), "text", config or ScanConfig(by_line=True))).select(*keys, "leaf", "text", "spans"), "json-strings")
     order = [k for k in key if k != session]
-    mappings = mint(typed(found, session, *order, "leaf"), session, *order, "leaf")
-    texts = redact(found, mappings, session, [*key, "leaf"] if session in key else [session, *key, "leaf"])
-    own = texts.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "redacted"))), lambda x: x["redacted"]).alias("__texts"))
-    filled = F.arrow_udf(_filled, "string")(F.struct(F.col(json_col).alias("json"), F.col("__texts").alias("texts")))
-    return documents.join(own, key, "left").withColumn("redacted", filled).drop("__texts"), mappings
+    mappings = materialize(mint(typed(found, session, *order, "leaf"), session, *order, "leaf", issued=issued), "json-mappings")
+    hidden_ = found.where(F.size("spans") > 0)
+    texts = redact(hidden_, mappings, session, [*keys, "leaf"]).select(*keys, "leaf", "redacted")
+    every = found.where(F.size("spans") == 0).select(*keys, "leaf", F.col("text").alias("redacted")).unionByName(texts)
+    own = every.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "redacted"))), lambda x: x["redacted"]).alias("__texts"))  # the strings of one document
+    filled = batched(_filled, "string", F.col(json_col), F.col("__texts"))
+    return documents.join(own, keys, "left").withColumn("redacted", filled).drop("__texts"), mappings
 
 
 def restore_json(documents: DataFrame, json_col: str, pairs_col: str) -> Column:
     """A Column: the document with tokens restored in all its strings; pairs_col holds array<struct<token, value>>."""
-    return F.arrow_udf(_restored, "string")(F.struct(F.col(json_col).alias("json"), F.col(pairs_col).alias("pairs")))
+    return batched(_restored, "string", F.col(json_col), F.col(pairs_col))
 
 
 # --- columns whose schema is known
@@ -142,3 +141,47 @@ def mask_value(value: Column, kind: T.DataType, name: str | None, mode: str) ->
 def mask_columns(df: DataFrame, mode: str = "hash") -> DataFrame:
     """All columns of a table with sensitive names, at any depth of structs and arrays, hidden."""
     return df.select(*(mask_value(F.col(f"`{f.name}`"), f.dataType, f.name, mode).alias(f.name) for f in df.schema.fields))
+
+
+# --- tool calls
+
+
+def tool_round_trip(calls: DataFrame, mappings: DataFrame, session: str, key: list[str], run: Callable[[DataFrame], DataFrame], *, json_col: str = "json", config: ScanConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """(calls with result and redacted, all mappings): arguments get their values back, the tool runs, what it returns is made safe again.
+
+    run: adds a column `result` (JSON text) to a table whose json_col holds the real arguments. Known values keep their placeholders.
+    """
+    pairs = calls.join(pairs_of(mappings, session), session, "left")
+    real = pairs.withColumn(json_col, restore_json(pairs, json_col, "pairs")).drop("pairs")
+    done = materialize(run(real).select(*key, "result", *([session] if session not in key else [])), "tool-results")
+    out, new = redact_json(done, session, key, "result", config, issued=mappings)
+    keys = [session, *[k for k in key if k != session]]
+    return calls.join(out.select(*keys, "redacted"), keys, "left"), new
+
+
+#: How deep an argument may stand: a fixed value.
+LANGUAGE_DEPTH = 4
+
+
+def tool_language(document: str | None) -> str | None:
+    """The language of the first text in a tool's arguments, in order, that is a language or the name of a file of one."""
+    try:
+        todo = [(json.loads(document or "null"), 0)]
+    except ValueError:
+        return None
+    while todo:
+        node, depth = todo.pop()
+        if isinstance(node, str) and (found := language_of(node)):
+            return found
+        if depth < LANGUAGE_DEPTH and isinstance(node, dict | list):
+            children = list(node.values() if isinstance(node, dict) else node)
+            todo += [(x, depth + 1) for x in reversed(children)]
+    return None
+
+
+def _languages(documents: pa.Array) -> pa.Array:
+    return pa.array([tool_language(x) for x in documents.to_pylist()], pa.string())
+
+
+def tool_language_column(document: Column) -> Column:
+    return batched(_languages, "string", document)

@@ -7,10 +7,13 @@ A session's values are ranked by their first place, which is aggregated before a
 from __future__ import annotations
 
 import re
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.functions.arrays import batched, flat_of
 from redactory.functions.columns import let
 from redactory.functions.predicates import entity_type_column
 
@@ -45,10 +48,22 @@ def mint(spans: DataFrame, session: str, *order: str, issued: DataFrame | None =
 
 def cut_in(text: Column, spans: Column, put: Column) -> Column:
     """A text with put[i] in place of spans[i]. Spans are in order; one that overlaps the one before is passed over."""
-    both = F.zip_with(spans, put, lambda s, p: F.struct(s["start"].alias("start"), s["end"].alias("end"), p.alias("put")))
-    step = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), x["put"]).alias("out"), x["end"].alias("at")))
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(both, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, done)
+    return batched(_cut_in, "string", F.coalesce(text, F.lit("")), spans, put)
+
+
+def _cut_in(texts: pa.Array, spans: pa.Array, put: pa.Array) -> pa.Array:
+    flat, at = flat_of(spans)
+    start, end = (flat.field(n).to_pylist() for n in ("start", "end"))
+    values, value_at = flat_of(put)
+    values, out = values.to_pylist(), []
+    for row, text in enumerate(texts.to_pylist()):
+        parts, done = [], 0
+        for i, j in zip(range(at[row], at[row + 1]), range(value_at[row], value_at[row + 1]), strict=False):
+            if start[i] >= done:
+                parts += [text[done : start[i]], values[j] or ""]
+                done = end[i]
+        out.append("".join([*parts, text[done:]]))
+    return pa.array(out, pa.string())
 
 
 def redact(detected: DataFrame, mappings: DataFrame, session: str, key: list[str], text_col: str = "text") -> DataFrame:
@@ -72,6 +87,15 @@ def hidden(value: Column, entity: Column, mode: str) -> Column:
     raise ValueError(f"unknown mode {mode}")
 
 
+def hidden_value(value: str, entity: str, mode: str) -> str:
+    """hidden() of one value."""
+    if mode == "hash":
+        return f"[{entity}_{sha256(value.encode()).hexdigest()[:8]}]"
+    if mode == "mask":
+        return "***"
+    raise ValueError(f"unknown mode {mode}")
+
+
 def anonymize(text: Column, spans: Column, mode: str) -> Column:
     return cut_in(text, spans, F.transform(spans, lambda s: hidden(s["value"], entity_type_column(s["rule_id"], s["category"]), mode)))
 

@@ -1,23 +1,23 @@
-"""Detection over a table: one pass of Column expressions for rules of fixed form, one Arrow stage for those that read words in order."""
+"""Detection over a table: all detectors in one Arrow stage, which a text passes once. Nothing is shuffled."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions import lexicon as fixed
+from redactory.functions.arrays import batched, lists
 from redactory.functions.comments import comment_ranges, language_of
 from redactory.functions.tokens import line_pieces
 from redactory.operators.contextual import Words, carried_over, contextual_spans, national_ids
-from redactory.operators.embedding import business_spans, embed, gates, scores
-from redactory.operators.infra import Found, infra_spans
-from redactory.operators.spans import FIELDS, SPANS, merge, no_spans, outside_comments, without_rules
-from redactory.operators.structural import PII_RULES, SECRET_RULES, structural_spans
-from redactory.session import ship_package
+from redactory.operators.embedding import built_in_centroids, business_spans, embed, gates, nearest_seed, ranked, scores, semantic_spans, vector_of
+from redactory.operators.infra import Ranges, infra_spans
+from redactory.operators.spans import SPANS, Found, merge, merged, no_spans, outside_comments, span_lists, without_rules
+from redactory.operators.structural import PII_RULES, SECRET_RULES, Rule, spans_in
 
 
 @dataclass(frozen=True)
@@ -43,27 +43,33 @@ class ScanConfig:
     carry_cols: tuple[str, str] | None = None
     """Columns with the rule id and label of a credential that an earlier turn asked for."""
     disabled: tuple[str, ...] = field(default_factory=tuple)
+    rules: tuple[Rule, ...] = field(default_factory=tuple)
+    """Rules of one's own, beside those of fixed form."""
+    semantic: bool = False
+    """Words that are near a seed find values around them, where nothing else was found. By the built-in embedder, or nearest_col."""
+    semantic_min: float = fixed.SEMANTIC_MIN
+    nearest_col: str | None = None
+    """A column with the near words of each text by another embedder (see redactory.operators.embedding.nearest_words)."""
 
 
-_STRUCT = pa.struct([(n, pa.int32() if n in ("start", "end") else pa.string()) for n in FIELDS])
-_SEEN = pa.struct([("rule_id", pa.string()), ("label", pa.string())])
-
-
-def _rows(found: list[Found]) -> list[dict]:
-    return [dict(zip(FIELDS, x, strict=True)) for x in found]
+_GATES = {"pii": "pii", "infra": "infrastructure", "secrets": "credentials"}
+_SEEN = "array<struct<rule_id:string,label:string>>"
 
 
 def _moved(found: list[Found], by: int) -> list[Found]:
-    return [(*x[:5], x[5] + by, x[6] + by) for x in found]
+    return [(*x[:5], x[5] + by, x[6] + by) for x in found] if by else found
 
 
 def scan_words(text: str, config: ScanConfig, on: dict[str, bool], carry: tuple[str, str] | None = None) -> tuple[list[Found], list[Found], list[tuple[str, str]]]:
-    """Structural spans beyond Column rules, contextual spans, and the credential keywords seen."""
+    """Structural spans beyond rules of fixed form, contextual spans, and the credential keywords seen."""
     structural = national_ids(Words(text)) if config.pii and any(k in text.lower() for k in ("aadh", "uid")) else []
     if config.infra:
         structural += infra_spans(text)
     context, seen = [], []
+    known = built_in_centroids() if config.routed and config.by_line else ()
     for piece, at in line_pieces(text) if config.by_line else [(text, 0)]:
+        if known:  # each line is routed by itself
+            on = routed(piece, config)
         own, words = contextual_spans(piece, pii=config.pii and on["pii"], infra=config.infra and on["infra"], secrets=config.secrets and on["secrets"], names=config.person_names)
         context += _moved(own, at)
         seen += words
@@ -72,64 +78,97 @@ def scan_words(text: str, config: ScanConfig, on: dict[str, bool], carry: tuple[
     return structural, context, seen
 
 
+def routed(text: str, config: ScanConfig) -> dict[str, bool]:
+    """Which context detectors a text is routed to by the built-in embedder; all, if its centroids are missing."""
+    known = built_in_centroids()
+    best = dict(ranked(vector_of(text)[None], known)[0]) if known else {}
+    return {k: not known or best.get(c, 0.0) >= config.route_min for k, c in _GATES.items()}
+
+
+@dataclass
+class Scanned:
+    structural: list[Found]
+    context: list[Found]
+    late: list[Found]
+    seen: list[tuple[str, str]]
+    comments: list[tuple[int, int]]
+
+    def spans(self, config: ScanConfig) -> list[Found]:
+        """merge(), then what is off or in comments goes."""
+        out = merged(self.structural, self.context, self.late)
+        if config.disabled:
+            out = [s for s in out if s[0] not in config.disabled]
+        if self.comments and config.language_col:
+            inside = Ranges(self.comments)
+            out = [s for s in out if s[0] in fixed.COMMENT_RULES or not inside.hold(s[5], s[6])]
+        return out
+
+
+def scan_text(text: str, config: ScanConfig, *, on: dict[str, bool] | None = None, language: str | None = None, carry: tuple[str, str] | None = None, nearest: dict | None = None) -> Scanned:
+    """What all detectors find in one text. on: which context detectors run, if that is known."""
+    if on is None:
+        on = routed(text, config) if config.routed and not config.by_line else dict.fromkeys(_GATES, True)
+    more, context, seen = scan_words(text, config, on, carry)
+    structural = spans_in(text, (*SECRET_RULES, *(PII_RULES if config.pii else ()), *config.rules)) + more
+    late = []
+    if config.semantic:
+        taken = [(s[5], s[6]) for s in merged(structural, context)]
+        late = semantic_spans(text, taken, nearest_seed if config.nearest_col is None else nearest or {}, config.semantic_min)
+    return Scanned(structural, context, late, seen, comment_ranges(text, language_of(language)) if language else [])
+
+
+def _stage(config: ScanConfig, names: tuple[str, ...], whole: bool, *arrays: pa.Array) -> pa.Array:
+    """struct<spans, seen> if whole, else what parts() has before merging."""
+    rows = dict(zip(names, (a.to_pylist() for a in arrays), strict=True))
+    out = []
+    for i, text in enumerate(rows["text"]):
+        get = lambda n: rows[n][i] if n in rows else None  # noqa: E731, B023
+        on = {k: get(f"on_{k}") for k in _GATES} if "on_pii" in rows else None
+        near = {x["word"]: tuple(x[k] for k in ("group", "label", "category", "severity", "score")) for x in get("nearest") or []}
+        out.append(scan_text(text, config, on=on, language=get("lang"), carry=(get("rule"), get("label")) if get("rule") else None, nearest=near))
+    seen = lists([x.seen for x in out], ("rule_id", "label"), (pa.string(), pa.string()))
+    if whole:
+        return pa.StructArray.from_arrays([span_lists([x.spans(config) for x in out]), seen], names=["spans", "seen"])
+    found = [span_lists([getattr(x, n) for x in out]) for n in ("structural", "context", "late")]
+    comments = lists([x.comments for x in out], ("start", "end"), (pa.int32(), pa.int32()))
+    return pa.StructArray.from_arrays([*found, seen, comments], names=["structural", "context", "late", "seen", "comments"])
+
+
+def _scan(df: DataFrame, text_col: str, config: ScanConfig, whole: bool) -> tuple[DataFrame, Column]:
+    """df with __found (see _stage), and the texts' scores by category."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.lit(None).cast("array<struct<category:string,score:double>>")
+    if config.business or config.routed and config.vector_col and not config.by_line:
+        own = scores(F.col(config.vector_col) if config.vector_col else embed(text))
+    inputs = {"text": text}
+    if config.routed and config.vector_col and not config.by_line:
+        inputs |= {f"on_{k}": v for k, v in gates(own, config.route_min).items()}
+    if config.language_col:
+        inputs["lang"] = F.col(config.language_col)
+    if config.carry_cols:
+        inputs |= {"rule": F.col(config.carry_cols[0]), "label": F.col(config.carry_cols[1])}
+    if config.nearest_col:
+        inputs["nearest"] = F.col(config.nearest_col)
+    kind = f"struct<spans:{SPANS},seen:{_SEEN}>" if whole else f"struct<structural:{SPANS},context:{SPANS},late:{SPANS},seen:{_SEEN},comments:array<struct<start:int,end:int>>>"
+    return df.withColumn("__found", batched(partial(_stage, config, tuple(inputs), whole), kind, *inputs.values())), own
+
+
 def parts(df: DataFrame, text_col: str = "text", config: ScanConfig | None = None) -> DataFrame:
-    """df with what detection finds before merging: __structural, __context, __comments, __ranked, keywords_seen. Nothing is shuffled."""
+    """df with what detection finds before merging: __structural, __context, __late, __comments, __ranked, keywords_seen. Nothing is shuffled."""
     config = config or ScanConfig()
-    ship_package(df.sparkSession)
-    names = df.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rules = (*SECRET_RULES, *(PII_RULES if config.pii else ()))
-    out = df.withColumn("__structural", structural_spans(text, rules))
-    ranked = scores(F.col(config.vector_col) if config.vector_col else embed(text)) if (config.routed and not config.by_line) or config.business else None
-    if ranked is not None:
-        out = out.withColumn("__ranked", ranked)
-    gate = gates(F.col("__ranked"), config.route_min) if config.routed and not config.by_line else {k: F.lit(True) for k in ("pii", "infra", "secrets")}
-    out = out.withColumns({f"__on_{k}": v for k, v in gate.items()})
-    out = out.withColumn("__lang", F.col(config.language_col) if config.language_col else F.lit(None).cast("string"))
-    rule, label = config.carry_cols or (None, None)
-    out = out.withColumns({"__rule": F.col(rule) if rule else F.lit(None).cast("string"), "__label": F.col(label) if label else F.lit(None).cast("string")})
-    inputs = ["__text", "__on_pii", "__on_infra", "__on_secrets", "__lang", "__rule", "__label"]
-    arg = F.struct(text.alias("__text"), *inputs[1:])
-
-    def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from redactory.operators.embedding import built_in_centroids, embed_text
-
-        known = built_in_centroids() if config.routed and config.by_line else ()
-        category = {"pii": "pii", "infra": "infrastructure", "secrets": "credentials"}
-        for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                on = {k: x[f"__on_{k}"] for k in ("pii", "infra", "secrets")}
-                carry = (x["__rule"], x["__label"]) if x["__rule"] else None
-                if known:
-                    structural, context, seen = scan_words(x["__text"], config, {k: False for k in on}, carry)
-                    for piece, at in line_pieces(x["__text"]):
-                        v = embed_text(piece)
-                        s = {c: sum(a * b for a, b in zip(v, w, strict=True)) for c, w in known}
-                        own, keys = contextual_spans(piece, **{k: getattr(config, k) and s.get(c, 0) >= config.route_min for k, c in category.items()}, names=config.person_names)
-                        context += _moved(own, at)
-                        seen += keys
-                else:
-                    structural, context, seen = scan_words(x["__text"], config, on, carry)
-                comments = comment_ranges(x["__text"], language_of(x["__lang"])) if x["__lang"] else []
-                rows.append({"structural": _rows(structural), "context": _rows(context), "seen": [{"rule_id": r, "label": l} for r, l in seen], "comments": [{"start": a, "end": b} for a, b in comments]})
-            yield pa.array(rows, pa.struct([("structural", pa.list_(_STRUCT)), ("context", pa.list_(_STRUCT)), ("seen", pa.list_(_SEEN)), ("comments", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
-
-    kind = f"struct<structural:{SPANS},context:{SPANS},seen:array<struct<rule_id:string,label:string>>,comments:array<struct<start:int,end:int>>>"
-    words.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    out = out.withColumn("__words", F.arrow_udf(words, kind)(arg))
-    ranked = F.col("__ranked") if ranked is not None else F.lit(None).cast("array<struct<category:string,score:double>>")
-    return out.select(*names, F.concat("__structural", "__words.structural").alias("__structural"), F.col("__words.context").alias("__context"), F.col("__words.comments").alias("__comments"), ranked.alias("__ranked"), F.col("__words.seen").alias("keywords_seen"))
+    out, own = _scan(df, text_col, config, False)
+    found = {f"__{n}": F.col(f"__found.{n}") for n in ("structural", "context", "late", "comments")}
+    return out.select(*df.columns, *(v.alias(k) for k, v in found.items()), own.alias("__ranked"), F.col("__found.seen").alias("keywords_seen"))
 
 
 def finish(found: DataFrame, text_col: str = "text", config: ScanConfig | None = None) -> DataFrame:
     """The columns of parts(), merged: spans, business, keywords_seen."""
     config = config or ScanConfig()
-    spans = without_rules(merge(F.col("__structural"), F.col("__context")), list(config.disabled))
+    spans = without_rules(merge(F.col("__structural"), F.col("__context"), F.col("__late")), list(config.disabled))
     if config.language_col:
         spans = outside_comments(spans, F.col("__comments"))
     business = business_spans(F.coalesce(F.col(text_col), F.lit("")), F.col("__ranked"), config.business_min) if config.business else no_spans()
-    names = [c for c in found.columns if c not in ("__structural", "__context", "__comments", "__ranked", "keywords_seen")]
+    names = [c for c in found.columns if c not in ("__structural", "__context", "__late", "__comments", "__ranked", "keywords_seen")]
     return found.select(*names, spans.alias("spans"), business.alias("business"), "keywords_seen")
 
 
@@ -138,7 +177,10 @@ def detect(df: DataFrame, text_col: str = "text", config: ScanConfig | None = No
 
     Null texts have no spans. With by_line and routed together each line is routed by itself.
     """
-    return finish(parts(df, text_col, config), text_col, config)
+    config = config or ScanConfig()
+    out, own = _scan(df, text_col, config, True)
+    business = business_spans(F.coalesce(F.col(text_col), F.lit("")), own, config.business_min) if config.business else no_spans()
+    return out.select(*df.columns, F.col("__found.spans").alias("spans"), business.alias("business"), F.col("__found.seen").alias("keywords_seen"))
 
 
 def findings(detected: DataFrame, *keys: str, with_values: bool = False) -> DataFrame:

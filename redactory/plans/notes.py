@@ -59,3 +59,38 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     if orders.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
         orders = orders.repartition(cores)
     return orders.selectExpr(f"{N} AS note_id", f"{C} AS session_id", f"{CASE} AS text")
+
+
+#: Phrase by number, and what it finds: (rule, value before words are put around it).
+OTHERS = (
+    ("'my drivers license is A' || {d7} || ' ok'", "contextual-drivers-license-us", "'A' || {d7}"),
+    ("'the address 2001:db8::' || {n} || ' is up'", "ipv6-standalone", "'2001:db8::' || {n}"),
+    ("'reach db' || {n} || '.corp.internal now'", "internal-hostname", "'db' || {n} || '.corp.internal'"),
+    ("'the uid of ' || {d12} || ' changed'", "aadhaar-india-contextual", "{d12}"),
+    ("'passports ' || {d9} || ' expired'", "contextual-passport-us", "{d9}"),
+    ("'see /home/user' || {n} || '/notes.txt please'", "unix-file-path", "'/home/user' || {n} || '/notes.txt'"),
+    ("'ping 172.16.0.' || {n} || ' twice'", "private-ip-standalone", "'172.16.0.' || {n}"),
+    ("'the box web-' || {n} || '-prod is down'", "internal-hostname-contextual", "'web-' || {n} || '-prod'"),
+)
+
+
+def phrase_rows() -> list[tuple[str, str, str]]:
+    """(text, rule, value) as SQL over n_nationkey: each conversational keyword with a value behind it, then OTHERS."""
+    from redactory.functions.lexicon import PHRASES
+
+    n = s("n_nationkey")
+    fill = {"n": n, "d7": d("n_nationkey + 1000000", 7), "d9": d("n_nationkey", 9), "d12": d("n_nationkey", 12)}
+    rows = []
+    for phrase, _, name in PHRASES:
+        value = f"'jane_d' || {n} || '.x'" if name else f"'Zx' || {n} || 'qwert99'"
+        # two keywords are shadowed by others that stand before them
+        rule = {"creds": "cred", "credentials": "credential"}.get(phrase, phrase)
+        rows.append((f"'set {phrase} as ' || {value} || ' now'", "proximity-" + rule.replace(" ", "-"), value))
+    return rows + [tuple(x.format(**fill) for x in r[:1]) + (r[1], r[2].format(**fill)) for r in OTHERS]
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of every keyword for every nation: phrase_id, text."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    texts = ", ".join(text for text, _, _ in phrase_rows())
+    return nations.selectExpr("n_nationkey", f"posexplode(array({texts})) AS (i, text)").selectExpr("CAST(n_nationkey * 100 + i AS LONG) AS phrase_id", "text")

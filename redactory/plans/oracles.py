@@ -9,6 +9,7 @@ from redactory.operators.embedding import load_data
 from redactory.operators.structural import L, RULES, R, Rule
 from redactory.plans import queries as q
 from redactory.plans.notes import SQL as NOTES
+from redactory.plans.notes import C, N, d, phrase_rows, s as text_of
 
 
 def lit(text: str) -> str:
@@ -120,10 +121,10 @@ WHERE regexp_matches(line, '\S')""",
     "proximity_tokens": token_rows(PROXIMITY_SQL),
     "number_context": f"""
 WITH w AS ({WORDS}), k(word, kind, low, high) AS (VALUES {_KEYWORDS})
-SELECT DISTINCT n.note_id, 'contextual-' || kind AS rule_id, n.i, n.digits FROM w AS a JOIN k USING (word) JOIN w AS n ON a.note_id = n.note_id AND abs(a.i - n.i) BETWEEN 1 AND 4 AND length(n.digits) BETWEEN low AND high""",
+SELECT DISTINCT n.note_id, 'contextual-' || kind AS rule_id, n.start_at, n.digits FROM w AS a JOIN k USING (word) JOIN w AS n ON a.note_id = n.note_id AND abs(a.i - n.i) BETWEEN 1 AND 4 AND length(n.digits) BETWEEN low AND high""",
     "port_context": f"""
 WITH w AS ({WORDS})
-SELECT note_id, i, digits AS port FROM (SELECT a.note_id, n.i, n.digits, row_number() OVER (PARTITION BY a.note_id, a.i ORDER BY n.i) AS r FROM w AS a JOIN w AS n ON a.note_id = n.note_id AND abs(a.i - n.i) BETWEEN 1 AND 3
+SELECT note_id, start_at, digits AS port FROM (SELECT a.note_id, n.start_at, n.digits, row_number() OVER (PARTITION BY a.note_id, a.i ORDER BY n.i) AS r FROM w AS a JOIN w AS n ON a.note_id = n.note_id AND abs(a.i - n.i) BETWEEN 1 AND 3
   WHERE a.word = 'port' AND try_cast(n.digits AS BIGINT) BETWEEN 1 AND 65535) WHERE r = 1""",
     "person_names": f"""
 WITH w AS (SELECT note_id, trimmed AS a, lead(trimmed) OVER (PARTITION BY note_id ORDER BY i) AS b FROM ({WORDS}))
@@ -213,3 +214,96 @@ ORACLES["detect_notes"] = (
     + f" UNION ALL SELECT note_id, {_kind('credit-card')} FROM n WHERE t = 3 AND {KEEP['credit-card']} UNION ALL SELECT note_id, {_kind('aadhaar-india')} FROM n WHERE t = 3 AND NOT {KEEP['credit-card']}"
     + ") SELECT rule_id, severity, category, count(*) AS n, count(DISTINCT note_id) AS n_notes FROM f GROUP BY 1, 2, 3"
 )
+
+
+# --- places and values of what the notes hold
+
+#: By template: rule, value as SQL over the orders, and how far the span goes beyond the value.
+VALUES = (
+    (0, "pan-india", f"'ABCDE' || {d(f'{N} % 10000', 4)} || 'F'", 0),
+    (1, "aadhaar-india-contextual", d(N, 12), 0),
+    (3, "credit-card", "'4532015112830366'", 0),
+    (4, "port-contextual", text_of(f"1000 + {N} % 9000"), 0),
+    (5, "internal-hostname-contextual", f"'prod-db-' || {d(f'{N} % 100', 2)}", 0),
+    (6, "proximity-password", f"'hunter' || {text_of(N)} || 'isnotsecure'", 0),
+    (7, "internal-url", f"'api' || {text_of(f'{N} % 50')} || '.corp.example.com:8443'", 0),
+    (7, "external-url", "'example.org'", 0),
+    (8, "unix-file-path", f"'/root/.ssh/id_' || {text_of(N)}", 0),
+    (8, "unix-file-path", f"'/opt/acme-' || {text_of(f'{N} % 7')} || '/config.yml'", 0),
+    (9, "private-ip-standalone", f"'192.168.' || {text_of(f'{N} % 256')} || '.' || {text_of(f'{C} % 256')}", 0),
+    (9, "mac-address", f"'00:1b:44:11:3a:' || {text_of(f'10 + {N} % 90')}", 0),
+    (10, "generic-password-assignment", f"'letmein' || {text_of(N)}", 0),
+    (11, "generic-api-key", f"'key' || {d(N, 20)}", 0),
+    (12, "username-assignment", f"'svc_corp_' || chr(CAST(97 + {N} % 26 AS INT)) || {text_of(f'{N} % 100')}", 0),
+    (13, "env-var-secret", f"'tok' || {d(N, 10)}", 0),
+    (14, "db-connection-string", f"'postgres://user' || {text_of(N)} || ':pw' || {text_of(C)} || '@db.example.com/app'", 0),
+    (15, "sqlserver-connection-string", "text", 0),
+    (16, "aws-access-key", f"'AKIA' || {d(N, 16)}", 0),
+    (16, "slack-token", f"'xoxb-' || {d(N, 12)}", 0),
+    (16, "github-token", f"'ghp_' || {d(N, 36)}", 0),
+    (17, "jwt", f"'eyJ' || {d(N, 6)} || '.abc.def'", 0),
+    (17, "amount-usd", f"'$' || {text_of(N)} || '.50'", 0),
+    (17, "amount-inr", f"'Rs. ' || {text_of(f'10 + {N} % 90')} || ',500'", 0),
+    (18, "ifsc-india", f"'SBIN0' || {d(f'{N} % 1000000', 6)}", 0),
+    (18, "ssn-us", f"{d(f'{N} % 1000', 3)} || '-' || {d(f'{N} % 100', 2)} || '-' || {d(f'{N} % 10000', 4)}", 0),
+    (19, "email", f"'user' || {text_of(f'{N} % 500')} || '@example.com'", 0),
+    (19, "contextual-phone", d(f"{N} + 9000000", 10), 0),
+    (20, "aws-secret-key", d(N, 40), 0),
+    (21, "openai-api-key", f"'sk-proj-' || {d(N, 24)}", 0),
+    (21, "stripe-api-key", f"'pk_live_' || {d(N, 14)}", 0),
+    (22, "private-key-block", "text", 0),
+    (23, "contextual-passport-us", f"'A' || {d(f'{N} % 100000000', 8)}", 0),
+    (24, "contextual-account-number", d(N, 8), 1),
+    (24, "contextual-customer-id", text_of(f"1000 + {N} % 5000"), 0),
+    (26, "proximity-password", f"'pw' || {d(N, 6)} || 'abcd'", 0),
+    (27, "ipv6-link-local", f"'fe80::1a2b:' || {text_of(f'1000 + {N} % 9000')}", 0),
+    (27, "private-ip-standalone", f"'10.0.' || {text_of(f'{N} % 256')} || '.1'", 0),
+    (27, "public-ip-standalone", f"'8.8.' || {text_of(f'{N} % 256')} || '.8'", 0),
+    (28, "aadhaar-india", f"'1234 5678 ' || {d(f'{N} % 10000', 4)}", 0),
+    (29, "windows-file-path", f"'C:' || chr(92) || 'Data' || chr(92) || 'bob' || {text_of(N)} || chr(92) || 'a.txt'", 0),
+)
+_CARD = f"'4532 0151 1283 ' || {d(f'{N} % 10000', 4)}"
+_TEXTS = NOTES.replace(" AS text FROM", f" AS text, {N}, {C}, {N} % 30 AS t FROM")
+_FOUND = " UNION ALL ".join(
+    # a value that stands at the end is looked for from there: its digits may stand before it, too
+    f"SELECT note_id, t, {lit(r)} AS rule_id, {v} AS value, {'length(text) - length(' + v + ')' if (k, r) == (24, 'contextual-customer-id') else f'strpos(text, {v}) - 1'} AS start_at, {more} AS more FROM x WHERE t = {k}"
+    for k, r, v, more in VALUES
+)
+_SECOND = f"SELECT note_id, t, CASE WHEN {KEEP['credit-card']} THEN 'credit-card' ELSE 'aadhaar-india' END AS rule_id, CASE WHEN {KEEP['credit-card']} THEN v ELSE v[1:14] END AS value, strpos(text, v) - 1 AS start_at, 0 AS more FROM (SELECT *, {_CARD} AS v FROM x WHERE t = 3)"
+PLACES = f"WITH x AS ({_TEXTS}), places AS (SELECT note_id, t, rule_id, CAST(start_at AS BIGINT) AS start_at, CAST(start_at + length(value) + more AS BIGINT) AS end_at, value FROM ({_FOUND} UNION ALL {_SECOND}))"
+_ROUTED = {"port-contextual": "infrastructure", "internal-hostname-contextual": "infrastructure", "proximity-password": "credentials", "contextual-phone": "pii", "contextual-passport-us": "pii", "contextual-account-number": "pii", "contextual-customer-id": "pii"}
+
+ORACLES |= {
+    "detect_places": f"{PLACES} SELECT note_id, rule_id, start_at, end_at, value FROM places",
+    "udf_scan": f"{PLACES} SELECT note_id, rule_id, start_at, value FROM places WHERE rule_id IN ('email', 'pan-india', 'port-contextual')",
+    "highlight_spans": f"{PLACES} SELECT note_id, rule_id, start_at FROM places WHERE rule_id NOT IN ('internal-url', 'external-url')",
+    # a range of the first line: what goes over several lines isn't in it
+    "anonymize_ranges": f"{PLACES} SELECT note_id, CASE WHEN start_at IS NULL THEN text ELSE left(text, start_at) || '***' || substr(text, end_at + 1) END AS hidden FROM ({NOTES}) LEFT JOIN (SELECT * FROM places WHERE start_at < 10 AND t NOT IN (22, 26)) USING (note_id)",
+    "detect_lines": f"""
+{PLACES}, lines AS (SELECT note_id, t, i, regexp_replace(line, '\\r$', '') AS line FROM (SELECT note_id, t, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT note_id, t, string_split(text, chr(10)) AS l FROM x))),
+{_CENTROIDS}, texts AS (SELECT category || '|' || CAST(i AS VARCHAR) AS k, e AS t FROM examples UNION ALL SELECT '|' || CAST(note_id AS VARCHAR) || '|' || CAST(i AS VARCHAR), line FROM lines), {_GRAMS},
+{_MEANS.replace("FROM vectors JOIN", "FROM (SELECT * FROM vectors WHERE k NOT LIKE '|%') AS vectors JOIN")},
+own AS (SELECT CAST(split_part(k, '|', 2) AS BIGINT) AS note_id, CAST(split_part(k, '|', 3) AS BIGINT) AS i, bucket, x FROM vectors WHERE k LIKE '|%'),
+scored AS (SELECT note_id, i, category, sum(own.x * c.x) AS score FROM own JOIN centroids AS c USING (bucket) GROUP BY ALL),
+gated(rule_id, category) AS (VALUES {", ".join(f"({lit(r)}, {lit(c)})" for r, c in _ROUTED.items())})
+SELECT p.note_id, p.rule_id, p.start_at FROM places AS p LEFT JOIN gated AS g USING (rule_id) LEFT JOIN scored AS s ON s.note_id = p.note_id AND s.i = CASE WHEN p.t = 26 THEN 3 ELSE 1 END AND s.category = g.category
+WHERE g.category IS NULL OR s.score >= {fixed.ROUTE_MIN}""",
+    "phrase_spans": " UNION ALL ".join(f"SELECT CAST(n_nationkey * 100 + {i} AS BIGINT) AS phrase_id, {lit(r)} AS rule_id, CAST(strpos({t}, {v}) - 1 AS BIGINT) AS start_at, {v} AS value FROM nation" for i, (t, r, v) in enumerate(phrase_rows())).replace("AS STRING", "AS VARCHAR"),
+    "page_urls": r"""
+WITH h AS (SELECT page_id, url, lower(regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^.*@', '')) AS host FROM pages)
+SELECT page_id, CASE WHEN len(list_intersect(string_split_regex(host, '[.\-_]'), ['internal', 'corp', 'intranet', 'lan', 'vpn', 'svc', 'cluster'])) > 0 OR ends_with(host, '.local') THEN 'internal-url' ELSE 'external-url' END AS rule_id, host AS value
+FROM h WHERE host <> ''""",
+    "json_mask_dynamic": """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)
+SELECT c_custkey AS doc, '{"who":{"username":"<<USERNAME_' || CAST(r AS VARCHAR) || '>>","notes":"write to <<EMAIL_' || CAST(r AS VARCHAR) || '>>"},"balance":' || CAST(c_acctbal AS VARCHAR) || '}' AS redacted FROM n""",
+    "udf_redact": """
+SELECT o_orderkey, 'mail [EMAIL_' || left(sha256('user' || CAST(o_orderkey AS VARCHAR) || '@example.com'), 8) || '] today' AS hidden,
+  'see u' || CAST(o_orderkey AS VARCHAR) || '@x.de and u' || CAST(o_orderkey AS VARCHAR) || '@x.de or ' || CASE WHEN o_orderkey = 1 THEN 'u1@x.de' ELSE '<<EMAIL_' || CAST(o_orderkey AS VARCHAR) || '>>' END AS shown FROM orders""",
+    "tool_calls": """SELECT c_custkey AS doc, '{"sent":"to <<EMAIL_1>> and <<EMAIL_2>>"}' AS answer, 'python' AS language FROM customer""",
+    "history_replay": """
+WITH t AS (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) % 2 AS first FROM conversations)
+SELECT conv_id, turn, CASE
+  WHEN conv_id % 2 = 0 THEN replace('write to a' || CAST(turn % 2 AS VARCHAR) || '@example.com or a1@example.com', 'a1@example.com', '<<EMAIL_7>>')
+  ELSE 'write to <<EMAIL_' || CASE WHEN turn % 2 = first THEN '1' ELSE '2' END || '>> or <<EMAIL_' || CASE WHEN first = 1 THEN '1' ELSE '2' END || '>>' END AS redacted FROM t""",
+    "semantic_values": "SELECT s_suppkey, 'semantic-credential' AS rule_id, 'medium' AS severity, CAST(19 AS BIGINT) AS start_at, 'Zx' || CAST(s_suppkey AS VARCHAR) || 'qwert99' AS value FROM supplier",
+}

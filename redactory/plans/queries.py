@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactory import udf
 from redactory.functions import lexicon as fixed
-from redactory.functions.predicates import digits_column, entity_type_column, trim_word_column
+from redactory.functions.predicates import entity_type_column
 from redactory.functions.tokens import PLAIN, PROXIMITY, lines, placed
-from redactory.operators import conversation, embedding, json_mask, policy, redact, selection
+from redactory.operators import conversation, embedding, json_mask, policy, ranges, redact, selection
+from redactory.operators.contextual import spans_by_words
 from redactory.operators.scan import ScanConfig, detect, findings
 from redactory.operators.spans import SPANS, merge, span
 from redactory.operators.structural import RULES, find, structural_spans
-from redactory.plans.notes import notes
+from redactory.plans.notes import notes, phrases
+from redactory.session import materialize
 from redactory.sources import settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +53,8 @@ def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan line by line, with routing."""
-    return findings(detect(notes(spark, sf_dir), config=ScanConfig(by_line=True, routed=True)), "note_id")
+    found = findings(detect(notes(spark, sf_dir), config=ScanConfig(by_line=True, routed=True)), "note_id")
+    return found.select("note_id", "rule_id", F.col("start").cast("long").alias("start_at"))
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,37 +75,88 @@ def tokens(pattern: str) -> Query:
     return query
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = notes(spark, sf_dir).select("note_id", F.posexplode(placed(F.col("text"), PLAIN)).alias("i", "t"))
-    return found.select("note_id", "i", "t", F.lower(trim_word_column(F.col("t.text"))).alias("word"), digits_column(F.col("t.text")).alias("digits"))
+def by_words(detector: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = notes(spark, sf_dir).select("note_id", F.explode(spans_by_words(detector, F.col("text"))).alias("s"))
+    return found.select("note_id", F.col("s.rule_id").alias("rule_id"), F.col("s.start").cast("long").alias("start_at"), F.col("s.value").alias("value"))
 
 
 def number_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers near a keyword of their group: a band join of words by place, with the keywords of three groups as a literal table."""
-    words = _words(spark, sf_dir)
-    keywords = spark.createDataFrame([(k, g, low, high) for g, _, _, ks, low, high in fixed.NUMBER_GROUPS for k in ks], "word string, kind string, low int, high int")
-    near = words.join(F.broadcast(keywords), "word").select("note_id", F.col("i").alias("at"), "kind", "low", "high")
-    numbers = words.where("digits IS NOT NULL")
-    band = (near["note_id"] == numbers["note_id"]) & (F.abs(near["at"] - numbers["i"]).between(1, fixed.NUMBER_WINDOW)) & F.length("digits").between(F.col("low"), F.col("high"))
-    return numbers.join(near, band).select(numbers["note_id"], F.concat(F.lit("contextual-"), "kind").alias("rule_id"), F.col("i").cast("long").alias("i"), "digits").distinct()
+    """Numbers near a keyword of their group."""
+    return by_words("numbers", spark, sf_dir).withColumnRenamed("value", "digits")
 
 
 def port_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first number that can be a port around each mention of a port."""
-    words = _words(spark, sf_dir)
-    near = words.where(F.col("word").isin(fixed.PORT_KEYWORDS)).select("note_id", F.col("i").alias("at"))
-    numbers = words.where(F.col("digits").cast("bigint").between(1, 65535)).select("note_id", "i", "digits")
-    joined = near.join(numbers, "note_id").where(F.abs(F.col("at") - F.col("i")).between(1, fixed.PORT_WINDOW))
-    return joined.groupBy("note_id", "at").agg(F.min(F.struct("i", "digits")).alias("m")).select("note_id", F.col("m.i").cast("long").alias("i"), F.col("m.digits").alias("port"))
+    return by_words("ports", spark, sf_dir).select("note_id", "start_at", F.col("value").alias("port"))
 
 
 def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two capitalized words in a row."""
-    own = notes(spark, sf_dir).select("note_id", placed(F.col("text"), PLAIN).alias("t"))
-    pairs = own.select("note_id", F.explode(F.arrays_zip("t", F.slice("t", 2, 100000).alias("u"))).alias("p")).where("p.u IS NOT NULL")
-    a, b = trim_word_column(F.col("p.t.text")), trim_word_column(F.col("p.u.text"))
-    fits = lambda x: x.rlike(r"^[A-Z][a-z]+\z") & ~x.isin(fixed.NOT_NAMES)
-    return pairs.where(fits(a) & fits(b)).select("note_id", F.concat(a, F.lit(" "), b).alias("name"))
+    return by_words("person_names", spark, sf_dir).select("note_id", F.col("value").alias("name"))
+
+
+def detect_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that is found in the notes, with its place and value."""
+    found = findings(detect(notes(spark, sf_dir)), "note_id", with_values=True)
+    return found.select("note_id", "rule_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "value")
+
+
+def phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values around each of the conversational keywords, and what else names a value: licences, addresses, hosts, business words."""
+    found = findings(detect(phrases(spark, sf_dir)), "phrase_id", with_values=True)
+    return found.select("phrase_id", "rule_id", F.col("start").cast("long").alias("start_at"), "value")
+
+
+def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an editor shows in the notes, URLs' hosts left out."""
+    config = ScanConfig(by_line=True, disabled=("internal-url", "external-url"))
+    found = notes(spark, sf_dir).select("note_id", F.explode(ranges.highlights(F.col("text"), config)).alias("s"))
+    return found.select("note_id", F.col("s.rule_id").alias("rule_id"), F.col("s.start").cast("long").alias("start_at"))
+
+
+def anonymize_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten characters of the notes, made anonymous by what their lines say."""
+    return ranges.anonymize_range(notes(spark, sf_dir), F.lit(0), F.lit(10), "mask").select("note_id", "hidden")
+
+
+def udf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emails, tax ids and ports in the notes by the table function."""
+    udf.register(spark)
+    notes(spark, sf_dir).createOrReplaceTempView("redactory_notes")
+    return spark.sql("SELECT note_id, s.rule_id, CAST(s.start AS LONG) AS start_at, s.value FROM redactory_notes AS n, LATERAL scan_text(n.text) AS s WHERE s.rule_id IN ('email', 'pan-india', 'port-contextual')")
+
+
+def udf_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text redacted and another restored by SQL functions."""
+    udf.register(spark)
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("redactory_orders")
+    return spark.sql("SELECT o_orderkey, redact(concat('mail user', o_orderkey, '@example.com today'), 'hash') AS hidden, restore(concat('see <<EMAIL_1>> and << email_1 >> or <<EMAIL_', o_orderkey, '>>'), array(named_struct('token', '<<EMAIL_1>>', 'value', concat('u', o_orderkey, '@x.de')))) AS shown FROM redactory_orders")
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls with placeholders in their arguments: run with the real values, the answers made safe with the same placeholders."""
+    mail = F.concat(F.lit("c"), F.col("c_custkey"), F.lit("@example.com"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("session"), F.col("c_custkey").alias("doc"), F.lit('{"to":"<<EMAIL_1>>","file":"src/a.py"}').alias("json"), mail.alias("mail"))
+    kinds = {"entity_type": "EMAIL", "token": "<<EMAIL_1>>", "rule_id": "email", "label": "Email Address", "category": "PII", "severity": "low"}
+    known = rows.select("session", F.col("mail").alias("value"), *(F.lit(v).alias(k) for k, v in kinds.items()))
+    run = lambda calls: calls.withColumn("result", F.concat(F.lit('{"sent":"to '), F.get_json_object("json", "$.to"), F.lit(' and d'), F.col("doc"), F.lit('@example.com"}')))
+    done = json_mask.tool_round_trip(rows.select("session", "doc", "json"), known, "session", ["session", "doc"], run)[0]
+    return done.select("doc", F.col("redacted").alias("answer"), json_mask.tool_language_column(F.col("json")).alias("language"))
+
+
+def history_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations made safe again: those of even ids have issued a placeholder before, the others are scanned."""
+    turns = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "concat('write to a', CAST(turn % 2 AS STRING), '@example.com or a1@example.com') AS text")
+    kinds = {"value": "a1@example.com", "entity_type": "EMAIL", "token": "<<EMAIL_7>>", "rule_id": "email", "label": "Email Address", "category": "PII", "severity": "low"}
+    issued = turns.where("conv_id % 2 = 0").select("conv_id").distinct().select("conv_id", *(F.lit(v).alias(k) for k, v in kinds.items()))
+    return conversation.redact_history(turns, issued)[0].select("conv_id", "turn", "redacted")
+
+
+def semantic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values beside words that are near a seed, where nothing else is found."""
+    text = F.concat(F.lit("the passcode maybe Zx"), F.col("s_suppkey"), F.lit("qwert99 today"))
+    found = findings(detect(table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")), config=ScanConfig(semantic=True)), "s_suppkey", with_values=True)
+    return found.select("s_suppkey", "rule_id", "severity", F.col("start").cast("long").alias("start_at"), "value")
 
 
 def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,22 +188,25 @@ def _with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).withColumn("spans", merge(structural_spans(F.col("text"), (RULES["email"], RULES["pan-india"], RULES["jwt"])), F.array().cast(SPANS)))
 
 
+def _redacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(notes with redacted, mappings of their sessions); texts are scanned once."""
+    found = materialize(_with_spans(spark, sf_dir), "spans")
+    mappings = materialize(redact.mint(redact.typed(found, "session_id", "note_id"), "session_id", "note_id"), "mappings")
+    return redact.redact(found, mappings, "session_id", ["session_id", "note_id"]), mappings
+
+
 def mint_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders of each session, numbered by first appearance."""
     return redact.mint(redact.typed(_with_spans(spark, sf_dir), "session_id", "note_id"), "session_id", "note_id").select("session_id", "entity_type", "value", "token")
 
 
 def redact_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _with_spans(spark, sf_dir)
-    mappings = redact.mint(redact.typed(found, "session_id", "note_id"), "session_id", "note_id")
-    return redact.redact(found, mappings, "session_id", ["session_id", "note_id"]).select("note_id", "redacted")
+    return _redacted(spark, sf_dir)[0].select("note_id", "redacted")
 
 
 def redact_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that come back unchanged from redacting and restoring."""
-    found = _with_spans(spark, sf_dir)
-    mappings = redact.mint(redact.typed(found, "session_id", "note_id"), "session_id", "note_id")
-    hidden = redact.redact(found, mappings, "session_id", ["session_id", "note_id"])
+    hidden, mappings = _redacted(spark, sf_dir)
     back = hidden.join(redact.pairs_of(mappings, "session_id"), "session_id", "left")
     none = F.array().cast("array<struct<token:string,value:string>>")
     return back.select("note_id", redact.restore(F.col("redacted"), F.coalesce("pairs", none)).alias("text"))
@@ -283,7 +341,7 @@ QUERIES: dict[str, Query] = {f"structural_{r.replace('-', '_')}": structural(r)
 } | {
     f.__name__: f
     for f in (
-        document_spans, detect_notes, detect_documents, detect_lines, page_urls, line_split, number_context, port_context, person_names, merge_spans, severity_rollup, mint_tokens, redact_placeholder, redact_restore,
+        document_spans, detect_notes, detect_documents, detect_lines, page_urls, line_split, number_context, port_context, person_names, detect_places, phrase_spans, highlight_spans, anonymize_ranges, udf_scan, udf_redact, tool_calls, history_replay, semantic_values, merge_spans, severity_rollup, mint_tokens, redact_placeholder, redact_restore,
         known_value_redact, restore_answer, unrestored_tokens, carry_over_spans, hash_embedding, centroid_build, routing_scores, nearest_centroid, policy_decision, audit_trail, select_tools, tool_limits, settings_resolve,
         json_mask_static, json_mask_dynamic, entity_types,
     )

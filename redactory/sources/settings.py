@@ -52,13 +52,30 @@ def read_settings(path: str) -> tuple[dict, list[str]]:
 
 
 def scan_config(settings: dict, **more) -> ScanConfig:
-    """The scan that settings ask for; routing needs an embedder, so it is on only where one is given by more."""
-    s = settings
+    """The scan that settings ask for, with more fields of ScanConfig.
+
+    Routing, the business flag and semantic keywords need an embedder that can tell meanings apart: they are on where settings ask for
+    them and more gives its vectors (vector_col) or near words (nearest_col). A language column counts if syntax is to be heeded. Where
+    all detectors are to run always, nothing is routed and no business flag is raised.
+    """
+    s, given = settings, lambda k: more.get(k) is not None
+    always = s["alwaysRunAllDetectors"]
     off = tuple(x for k in DEFAULTS if k.startswith("disabled") for x in s[k])
-    names = {"pii": s["enablePiiDetection"], "infra": s["enableInfraDetection"], "secrets": s["enableConversationalSecretDetection"], "person_names": s["enableHeuristicNameDetection"], "route_min": s["routingMinSimilarity"], "business_min": s["businessContentThreshold"], "disabled": off}
+    names = {
+        "pii": s["enablePiiDetection"], "infra": s["enableInfraDetection"], "secrets": s["enableConversationalSecretDetection"], "person_names": s["enableHeuristicNameDetection"],
+        "route_min": s["routingMinSimilarity"], "business_min": s["businessContentThreshold"], "semantic_min": s["semanticMatchThreshold"], "disabled": off,
+        "routed": given("vector_col") and not always, "business": s["enableBusinessContentDetection"] and given("vector_col") and not always, "semantic": s["enableSemanticKeywordMatching"] and given("nearest_col"),
+    }
+    if not s["enableSyntaxAwareRedaction"]:
+        more = more | {"language_col": None}
     return ScanConfig(**names | more)
 
 
+def carry_turns(settings: dict) -> int:
+    """For how many turns a credential that was asked for is expected; 0 if it isn't carried over."""
+    return int(settings["crossTurnSecretTurns"]) if settings["enableCrossTurnSecretCarryover"] else 0
+
+
 def resolve(rows: DataFrame, key: str = "key", raw: str = "raw") -> DataFrame:
     """rows (key, raw JSON text) with rejected and resolved (JSON text), for tables of settings."""
     spark: SparkSession = rows.sparkSession

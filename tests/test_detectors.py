@@ -123,3 +123,23 @@ def test_long_names_are_keywords(name):
     spans, seen = credentials(f"{name} is hunter2isnotsecure")
     assert [x[4] for x in spans] == ["hunter2isnotsecure"] and [x[0] for x in seen] == ["proximity-password"]
     assert [x[4] for x in contextual_spans(f"{name} is hunter2isnotsecure")[0] if x[0] == "proximity-password"] == ["hunter2isnotsecure"]
+
+
+def test_emails_are_those_of_the_pattern():
+    import random
+
+    from redactory.operators.structural import RULES, _emails
+
+    rng, pattern = random.Random(1), RULES["email"].search
+    for _ in range(30_000):
+        text = "".join(rng.choice("ab.@-_%é1 ") for _ in range(rng.randint(0, 30)))
+        assert list(_emails(text)) == [m.span(1) for m in pattern.finditer(text)], text
+    list(_emails("a." * 100_000 + "@"))
+
+
+def test_white_space_of_rules_is_not_ascii_only():
+    from redactory.operators.structural import RULES, spans_in
+
+    assert [s[4] for s in spans_in("1234\xa05678\u20099012")] == ["1234\xa05678\u20099012"]
+    assert [s[4] for s in spans_in("password=abc123\u3000x", (RULES["generic-password-assignment"],))] == ["abc123"]
+    assert spans_in("PAſſWORD=abc123") == []  # letters of other alphabets aren't folded

@@ -186,3 +186,123 @@ def test_stream_equals_batch(spark, tmp_path):
     hidden = redact.redact(found, redact.mint(redact.typed(found, "session", "turn"), "session", "turn"), "session", ["session", "turn"])
     assert got == {(r.session, r.turn): r.redacted for r in hidden.collect()}
     assert got[("s", 2)] == "use <<PASSWORD_1>>" and got[("s", 3)] == "<<EMAIL_2>>, <<EMAIL_1>>"
+
+
+def test_texts_with_very_many_spans_take_time_in_proportion(spark):
+    import time
+
+    from redactory.functions.tokens import PLAIN, lines, placed
+    from redactory.operators.spans import merge, no_spans
+    from redactory.operators.structural import RULES, structural_spans
+
+    text = " ".join(f"u{i}@x.de" for i in range(100_000))
+    df = spark.createDataFrame([(text,)], "text string").select("text", merge(structural_spans(F.col("text"), (RULES["email"],)), no_spans()).alias("spans"))
+    df.select(F.size("spans")).first()  # workers start
+    began = time.perf_counter()
+    row = df.select(F.size("spans").alias("n"), F.length(redact.anonymize(F.col("text"), F.col("spans"), "mask")).alias("left"), F.size(placed(F.col("text"), PLAIN)).alias("tokens"), F.size(lines(F.replace("text", F.lit(" "), F.lit("\n")))).alias("lines")).first()
+    assert (row.n, row.left, row.tokens, row.lines) == (100_000, 4 * 100_000 - 1, 100_000, 100_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_long_texts_are_read_whole(spark):
+    from redactory.operators.contextual import spans_by_words
+
+    text = "word " * 200_000 + "ask Jane Doe"
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [s.value for s in df.select(spans_by_words("person_names", F.col("text")).alias("s")).first().s] == ["Jane Doe"]
+
+
+def test_merge_fills_gaps_with_late_spans(spark):
+    from redactory.operators.spans import SPANS, merge, merged
+
+    make = lambda *places: [("r", "l", "low", "PII", str(a), a, b) for a, b in places]
+    layers = make((5, 9), (20, 25)), make((0, 5), (5, 12), (8, 10), (30, 31)), make((9, 10), (3, 6), (26, 40), (26, 28))
+    df = spark.createDataFrame([layers, ([], [], make((1, 2), (1, 2))), (None, None, None)], f"a {SPANS}, b {SPANS}, c {SPANS}")
+    got = [[(s.start, s.end) for s in r.s] for r in df.select(merge(F.col("a"), F.col("b"), F.col("c")).alias("s")).collect()]
+    assert got == [[(0, 5), (5, 9), (9, 10), (20, 25), (26, 28), (30, 31)], [(1, 2)], []]
+    assert [s[5:] for s in merged(*layers)] == got[0]
+
+
+def test_rules_of_ones_own(spark):
+    from redactory.operators.structural import L, R, Rule
+
+    own = Rule("badge", "Badge", "high", "PII", "B[0-9]{5}", L, R, lambda v, w: v != "B00000", marks=("B",))
+    got = spans_of(spark, ["badge B12345 or B00000 at a@b.co"], ScanConfig(rules=(own,)))[0]
+    assert [s[:2] for s in got] == [("badge", "B12345"), ("email", "a@b.co")]
+
+
+def test_sql_functions(spark):
+    from redactory import udf
+
+    udf.register(spark)
+    row = spark.sql("SELECT detect_spans('a@b.co x')[0].rule_id AS r, redact('to a@b.co', 'mask') AS m, redact(NULL, 'mask') AS n, restore('<<EMAIL_1>> <<X_1>>', array(named_struct('token', '<<EMAIL_1>>', 'value', 'a@b.co'))) AS b").first()
+    assert (row.r, row.m, row.n, row.b) == ("email", "to ***", "", "a@b.co <<X_1>>")
+    assert [(r.rule_id, r.start) for r in spark.sql("SELECT * FROM scan_text('mail a@b.co')").collect()] == [("email", 5)]
+    assert spark.sql("SELECT * FROM scan_text(NULL)").count() == 0
+
+
+def test_ranges_and_highlights(spark):
+    from redactory.operators.ranges import anonymize_range, highlighted, in_range
+
+    text = "first line a@b.co\nphone: 9876543210 and c@d.co\nlast"
+    assert [s[4] for s in in_range(text, 25, 30)] == ["9876543210"] and in_range(text, 0, 5) == [] and [s[0] for s in in_range(text, -5, 10**9)] == ["email", "contextual-phone", "email"]
+    assert [s[0] for s in highlighted(text)] == ["email", "contextual-phone", "email"]
+    # the rule that is off doesn't keep its place here, and what overlaps the span listed before isn't shown
+    assert [s[0] for s in highlighted('token = "abcdefgh12345678abcd" x', ScanConfig(by_line=True, disabled=("proximity-token",)))] == []
+    df = spark.createDataFrame([(text, 25, 30), (None, 0, 1), (text, None, 1)], "text string, a int, b int")
+    assert [r.hidden for r in anonymize_range(df, F.col("a"), F.col("b"), "mask").collect()] == ["first line a@b.co\nphone: *** and c@d.co\nlast", "", text]
+
+
+def test_history_and_tool_calls(spark):
+    turns = spark.createDataFrame([("s", 1, "a@b.co"), ("s", 2, "c@d.co and a@b.co"), ("t", 1, "x@y.de then a@b.co"), ("t", 2, None)], "session string, turn int, text string")
+    issued = spark.createDataFrame([("t", "EMAIL", "a@b.co", "<<EMAIL_4>>", "email", "Email Address", "PII", "low")], "session string, entity_type string, value string, token string, rule_id string, label string, category string, severity string")
+    out, mappings = conversation.redact_history(turns, issued, session="session")
+    # a session that has issued placeholders isn't scanned again
+    assert {(r.session, r.turn): r.redacted for r in out.collect()} == {("s", 1): "<<EMAIL_1>>", ("s", 2): "<<EMAIL_2>> and <<EMAIL_1>>", ("t", 1): "x@y.de then <<EMAIL_4>>", ("t", 2): ""}
+    assert mappings.count() == 3
+    cold, _ = conversation.redact_history(turns, None, session="session")
+    assert {(r.session, r.turn): r.redacted for r in cold.collect()}[("t", 1)] == "<<EMAIL_1>> then <<EMAIL_2>>"
+    assert json_mask.tool_language('{"a": {"file": "src/x.py"}}') == "python" and json_mask.tool_language('["go"]') == "go"
+    assert json_mask.tool_language('{"a":{"b":{"c":{"d":{"e":"x.py"}}}}}') is None and json_mask.tool_language("no") is None is json_mask.tool_language(None)
+
+
+def test_settings_reach_the_scan():
+    good, _ = settings.sanitize({"semanticMatchThreshold": 0.7, "disabledPiiRules": ["email"]})
+    plain = settings.scan_config(good)
+    assert not plain.semantic and not plain.routed and not plain.business and plain.semantic_min == 0.7 and plain.disabled == ("email",)
+    full = settings.scan_config(good, vector_col="v", nearest_col="n", language_col="l")
+    assert full.semantic and full.routed and full.business and full.language_col == "l"
+    always, _ = settings.sanitize({"alwaysRunAllDetectors": True, "enableSyntaxAwareRedaction": False, "enableCrossTurnSecretCarryover": False})
+    config = settings.scan_config(always, vector_col="v", language_col="l")
+    assert not config.routed and not config.business and config.language_col is None
+    assert settings.carry_turns(always) == 0 and settings.carry_turns(good) == 2
+
+
+def test_semantic_words_fill_gaps(spark):
+    from redactory.operators.embedding import nearest_words
+
+    text = ["the passcode maybe Zx1qwert99 today", "my password is Zx1qwert99"]
+    assert spans_of(spark, text)[0] == []
+    assert [s[0] for s in spans_of(spark, text, ScanConfig(semantic=True))[0]] == ["semantic-credential"] and [s[0] for s in spans_of(spark, text, ScanConfig(semantic=True))[1]] == ["proximity-password"]
+    assert spans_of(spark, text, ScanConfig(semantic=True, semantic_min=1.1))[0] == []
+    df = spark.createDataFrame(list(enumerate(text)), "id int, text string")
+    words = spark.createDataFrame([(w, embed_text(w)) for t in text for w in semantic_words(t)], "word string, vector array<double>").distinct()
+    near = nearest_words(df, ["id"], words, seed_table(spark).withColumn("vector", embed(F.col("seed"))))
+    got = {r.id: [s.rule_id for s in r.spans] for r in detect(near, config=ScanConfig(semantic=True, nearest_col="nearest")).collect()}
+    assert got == {0: ["semantic-credential"], 1: ["proximity-password"]}
+
+
+def test_column_predicates_equal_the_plain_ones(spark):
+    import random
+
+    from redactory.functions import predicates as p
+
+    rng = random.Random(2)
+    values = ["".join(rng.choice("aB1_.-@#+=/'\"` x(),é") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    values += ["hunter2isnotsecure", "Hunter@123", "QUJDREVGRw==", "svc_corp_uat", "user.name", "'a_b1'", "987-654.", "\"x\ny\""]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    v = F.col("v")
+    rows = df.select("v", p.strip_quotes_column(v).alias("s"), p.secret_shaped(v).alias("secret"), p.account_name(v).alias("name"), p.trim_word_column(v).alias("trim"), p.digits_column(v).alias("digits"), p.assigned_literal(v, F.concat(F.lit("x = '"), v, F.lit('"'))).alias("literal")).collect()
+    for r in rows:
+        expected = p.strip_quotes(r.v), p.is_secret_shaped(r.v), p.is_account_name(r.v), p.trim_word(r.v), p.digits_of(r.v), p.is_assigned_literal(r.v, f"x = '{r.v}\"")
+        assert (r.s, r.secret, r.name, r.trim, r.digits, r.literal) == expected, r.v
