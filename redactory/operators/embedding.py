@@ -184,16 +184,60 @@ def banded(score: float, ceiling: str) -> str:
     return fixed.SEVERITIES[min((score >= low) + (score >= high), fixed.SEVERITIES.index(ceiling))]
 
 
+#: Known vectors that a pass compares with.
+BLOCK = 1000
+
+
+def nearest(rows: DataFrame, vector: str, known: DataFrame, names: list[str], block: int = BLOCK, digits: int = 15) -> DataFrame:
+    """rows with __at (struct of names and score): the known vector (names, vector) of the largest dot product with each row's; null if none fits.
+
+    Known vectors are compared block by block in their order, one pass of rows for each; of equal scores (rounded to `digits`) the first
+    counts. What is sent to the tasks at once is bounded by a block, however many there are.
+    """
+    spark = rows.sparkSession
+    kinds = dict(known.dtypes)
+    kind = f"struct<{', '.join(f'`{n}`:{kinds[n]}' for n in names)},score:double>"
+    out = rows.withColumn("__at", F.lit(None).cast(kind))
+    schema, columns = out.schema, rows.columns
+    at, held = columns.index(vector), []
+
+    def against(block_: list[tuple]) -> Callable:
+        shared = spark.sparkContext.broadcast(([x[:-1] for x in block_], [x[-1] for x in block_]))
+
+        def run(batches):
+            labels, vectors = shared.value
+            by_size = {d: (own := [i for i, v in enumerate(vectors) if len(v) == d], np.array([vectors[i] for i in own])) for d in {len(v) for v in vectors}}
+            for b in batches:
+                best = b.column(len(columns)).to_pylist()
+                flat, starts = flat_of(b.column(at))
+                values, size = flat.to_numpy(zero_copy_only=False).astype(float), np.diff(starts)
+                for d, (own, matrix) in by_size.items():
+                    fits = np.flatnonzero(size == d)
+                    if d and len(fits):
+                        scores_ = np.round(values[starts[fits][:, None] + np.arange(d)] @ matrix.T, digits)
+                        first = scores_.argmax(1)
+                        for i, j, s in zip(fits.tolist(), first.tolist(), scores_[np.arange(len(fits)), first].tolist(), strict=True):
+                            if best[i] is None or s > best[i]["score"]:
+                                best[i] = dict(zip(names, labels[own[j]], strict=True)) | {"score": s}
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, b.schema.field("__at").type)], schema=b.schema)
+
+        return run
+
+    for r in known.select(*names, "vector").toLocalIterator():
+        held.append((*r,))
+        if len(held) == block:
+            out, held = out.mapInArrow(against(held), schema), []
+    return out.mapInArrow(against(held), schema) if held else out
+
+
 def best_seeds(words: DataFrame, seeds: DataFrame, least: float = fixed.SEMANTIC_MIN) -> DataFrame:
     """word, group, label, category, severity, score: the nearest seed of each word (word, vector), if near enough.
 
-    seeds (group, label, category, severity, seed, vector) is a stated set of some dozens, checked here; it is broadcast.
+    seeds: group, label, category, severity, seed, vector. Of equally near seeds the last in order of seed counts.
     """
-    if (n := seeds.count()) > 10_000:
-        raise ValueError(f"{n} seeds are too many to broadcast")
-    each = words.join(F.broadcast(seeds.withColumnRenamed("vector", "seed_vector")), F.lit(True), "inner").withColumn("score", cosine(F.col("vector"), F.col("seed_vector")))
-    best = each.groupBy("word").agg(F.max_by(F.struct("group", "label", "category", "severity", "score"), F.struct("score", "seed")).alias("b"))
-    return best.select("word", "b.*").where(F.col("score") >= least)
+    names = ["group", "label", "category", "severity"]
+    found = nearest(words.select("word", "vector"), "vector", seeds.orderBy(F.desc("seed")), names)
+    return found.where(F.col("__at.score") >= least).select("word", "__at.*")
 
 
 def semantic_spans(text: str, taken: list[tuple[int, int]], nearest: Mapping[str, Nearest] | Callable[[str], Nearest | None], least: float = fixed.SEMANTIC_MIN) -> list[Found]:

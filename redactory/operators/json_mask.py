@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from redactory.functions.arrays import batched, lists
 from redactory.functions.comments import language_of
 from redactory.functions.lexicon import FIELD_NAMES
-from redactory.operators.redact import hidden, mint, pairs_of, redact, restore_text, typed
+from redactory.operators.redact import hidden, mint, redact, restore_text, typed, with_pairs
 from redactory.operators.scan import ScanConfig, detect
 from redactory.operators.spans import SPANS, span
 from redactory.session import materialize
@@ -151,7 +151,7 @@ def tool_round_trip(calls: DataFrame, mappings: DataFrame, session: str, key: li
 
     run: adds a column `result` (JSON text) to a table whose json_col holds the real arguments. Known values keep their placeholders.
     """
-    pairs = calls.join(pairs_of(mappings, session), session, "left")
+    pairs = with_pairs(calls, mappings, session, key, json_col)
     real = pairs.withColumn(json_col, restore_json(pairs, json_col, "pairs")).drop("pairs")
     done = materialize(run(real).select(*key, "result", *([session] if session not in key else [])), "tool-results")
     out, new = redact_json(done, session, key, "result", config, issued=mappings)

@@ -135,6 +135,28 @@ def restore(text: Column, pairs: Column) -> Column:
     return let(restore_exact(text, pairs), lambda exact: let(tokens(exact), lambda found: let(known, lambda k: filled(exact, found, k))))
 
 
+def with_pairs(df: DataFrame, mappings: DataFrame, session: str, key: list[str], text_col: str = "text") -> DataFrame:
+    """df with pairs: the mappings, in order of number, of the tokens that each row's text holds. key identifies a row in its session.
+
+    Tokens meet their mappings by (session, token): no row ever has all that a session issued.
+    """
+    canon = lambda s: F.upper(F.regexp_replace(s, r"[<>\s]", ""))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = [session, *[k for k in key if k != session]]
+    held = df.select(*keys, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(SHAPE), F.lit(0)), canon))).alias("__token"))
+    number = F.regexp_extract("token", r"_(\d+)>>$", 1).cast("long")
+    known = mappings.select(session, canon(F.col("token")).alias("__token"), F.struct("entity_type", number.alias("n"), "token", "value").alias("__pair"))
+    met = held.join(known, [session, "__token"]).groupBy(*keys).agg(F.array_sort(F.collect_list("__pair")).alias("__pairs"))  # the tokens of one text
+    pairs = F.transform(F.coalesce("__pairs", F.array().cast("array<struct<entity_type:string,n:bigint,token:string,value:string>>")), lambda x: F.struct(x["token"].alias("token"), x["value"].alias("value")))
+    return df.join(met, keys, "left").withColumn("pairs", pairs).drop("__pairs")
+
+
+def restore_rows(df: DataFrame, mappings: DataFrame, session: str, key: list[str], text_col: str = "text") -> DataFrame:
+    """df with restored: restore() by the mappings of each row's session, of which a row gets those of its own tokens."""
+    met = with_pairs(df, mappings, session, key, text_col)
+    return met.withColumn("restored", restore(F.coalesce(F.col(text_col), F.lit("")), F.col("pairs"))).drop("pairs")
+
+
 def unrestored(text: Column, issued_types: Column | None = None) -> Column:
     """Distinct tokens that are left in a text, of the types that were issued if these are given."""
     left = F.array_distinct(F.regexp_extract_all(text, F.lit(SHAPE), F.lit(0)))

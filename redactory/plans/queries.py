@@ -207,9 +207,7 @@ def redact_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that come back unchanged from redacting and restoring."""
     hidden, mappings = _redacted(spark, sf_dir)
-    back = hidden.join(redact.pairs_of(mappings, "session_id"), "session_id", "left")
-    none = F.array().cast("array<struct<token:string,value:string>>")
-    return back.select("note_id", redact.restore(F.col("redacted"), F.coalesce("pairs", none)).alias("text"))
+    return redact.restore_rows(hidden, mappings, "session_id", ["note_id"], "redacted").select("note_id", F.col("restored").alias("text"))
 
 
 _PAIRS = (("<<PERSON_1>>", "server"), ("<<PERSON_2>>", "the server"), ("<<PORT_1>>", "on"), ("<<EMAIL_1>>", "user7@example.com"))
@@ -271,11 +269,9 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label whose mean vector is nearest to each vector of embeddings."""
     rows = table(spark, sf_dir, "embeddings")
     known = embedding.centroids(rows.select(F.col("label").cast("string").alias("category"), F.col("embedding").alias("v")), F.col("v"))
-    if known.count() > 1000:
-        raise ValueError("too many labels to broadcast")
-    each = rows.join(F.broadcast(known), F.lit(True)).withColumn("score", F.round(embedding.cosine(F.col("embedding"), F.col("vector")), 6))
-    best = each.groupBy("vec_id").agg(F.max(F.struct("score", (-F.col("category").cast("int")).alias("c"))).alias("m"))
-    return best.select("vec_id", (-F.col("m.c")).cast("long").alias("category"), F.col("m.score").alias("score"))
+    label = known.select(F.col("category").cast("long").alias("category"), "vector").orderBy("category")
+    found = embedding.nearest(rows.select("vec_id", "embedding"), "embedding", label, ["category"], digits=6)
+    return found.select("vec_id", F.col("__at.category").alias("category"), F.col("__at.score").alias("score"))
 
 
 def policy_decision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,4 +61,19 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(-(-max(rows, 1) // ROWS_PER_FILE))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path  # for forget()
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote for some tables, once nothing will read them again."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            remove(t.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder; one that isn't there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
