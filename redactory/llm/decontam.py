@@ -6,9 +6,10 @@ search are words. For windows of one length m, the shift table has for each bloc
 from its end to a window's end; a block that is in no window shifts by m - 1 (m, if m is 1). Where the shift is zero, the hash of the
 last words selects a bucket of windows, which are compared word by word.
 
-The benchmark is cut into blocks of whole items of at most `block_bytes` of text; each block is broadcast and searched over all
-documents, one map after another, so no broadcast grows with the benchmark. Hits are carried as intervals in the row; there is no
-shuffle.
+The benchmark is cut into blocks of whole items, each about `block_bytes` of text (an item that is larger is a block of its own), and
+each block is broadcast by itself. Documents are searched in one map: a task holds some CHUNK_BYTES of text, searches it for one block
+after another, and has the tables of one block at a time. So neither the plan nor a worker's memory grows with the benchmark. With one
+block, its tables are kept between batches. Hits are intervals of word positions in the row; there is no shuffle.
 
 Defined cases: null texts have no words; null or wordless items have no windows; an item id that occurs in several rows counts once;
 items with a null id mark words as hit but are in neither n_items nor items_sha256; no items give sha256 of the empty string; equal
@@ -28,6 +29,8 @@ from redactory.llm.arrow import prepare, texts_of
 #: A-Z to a-z; digits, a-z and all bytes of other characters stay; the rest separates words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 SUFFIX = 4
+#: Text that a task holds while it searches for several blocks.
+CHUNK_BYTES = 32 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -103,11 +106,11 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     held, size = [], 0
     for r in rows.toLocalIterator():
-        held.append((r.i, r.t))
-        size += len(r.t) + 64
-        if size >= block_bytes:
+        if held and size + len(r.t) + 64 > block_bytes:
             yield held
             held, size = [], 0
+        held.append((r.i, r.t))
+        size += len(r.t) + 64
     if held:
         yield held
 
@@ -123,38 +126,54 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     prepare(spark := docs.sparkSession)
     names = docs.columns
     out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.array().cast("array<struct<a:long,b:long>>"), "__items": F.array().cast("array<string>")})
-    schema = out.schema
-    at, searched = names.index(text_col), False
-
-    for number, items in enumerate(blocks_of(benchmark, item_col, item_text_col, block_bytes)):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            key = (shared._path or id(shared), number, size)  # the file that the worker has of this broadcast
-            if key not in _BUILT:
-                _BUILT.clear()
-                _BUILT[key] = matchers(shared.value, size)
-            for b in batches:
-                n_words, spans, found = [], [], []
-                for text, had, ids in zip(texts_of(b.column(at)), b.column(len(names) + 1).to_pylist(), b.column(len(names) + 2).to_pylist(), strict=True):
-                    words = words_of(text)
-                    own, who = [(x["a"], x["b"]) for x in had], set(ids)
-                    for m in _BUILT[key]:
-                        for first, past, owners in m.search(words):
-                            if own and own[-1][0] <= first <= own[-1][1]:
-                                own[-1] = (own[-1][0], max(past, own[-1][1]))
-                            else:
-                                own.append((first, past))
-                            who.update(x for x in owners if x is not None)
-                    n_words.append(len(words))
-                    spans.append([{"a": x, "b": y} for x, y in union(own)])
-                    found.append(sorted(who))
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(found, pa.list_(pa.string()))], names=b.schema.names)
-
-        out, searched = out.mapInArrow(run, schema), True
-    if not searched:  # no items: only words are counted
+    schema, at = out.schema, names.index(text_col)
+    blocks = [spark.sparkContext.broadcast(items) for items in blocks_of(benchmark, item_col, item_text_col, block_bytes)]
+    if not blocks:  # no items: only words are counted
         return out.withColumn("__words", count_words(F.col(text_col)))
-    return out
+
+    def of_block(number: int) -> list[WuManber]:
+        shared = blocks[number]
+        key = (shared._path or id(shared), size)  # the file that the worker has of this broadcast
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = matchers(shared.value, size)
+            if len(blocks) > 1 and shared._path:
+                shared.__dict__.pop("_value", None)  # it is read again from that file
+        return _BUILT[key]
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same: dict[bytes, bytes] = {}
+        words = [[same.setdefault(w, w) for w in words_of(t)] for b in held for t in texts_of(b.column(at))]
+        spans: list[list[tuple[int, int]]] = [[] for _ in words]
+        found: list[set] = [set() for _ in words]
+        for number in range(len(blocks)):
+            for m in of_block(number):
+                for own, hits, who in zip(words, spans, found, strict=True):
+                    for first, past, owners in m.search(own):
+                        if hits and hits[-1][0] <= first <= hits[-1][1]:
+                            hits[-1] = (hits[-1][0], max(past, hits[-1][1]))
+                        else:
+                            hits.append((first, past))
+                        who.update(x for x in owners if x is not None)
+        low = 0
+        for b in held:
+            n = b.num_rows
+            rows = slice(low, low + n)
+            low += n
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(map(len, words[rows]), pa.int64(), size=n), pa.array([[{"a": x, "b": y} for x, y in union(own)] for own in spans[rows]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(x) for x in found[rows]], pa.list_(pa.string()))], names=b.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size_ = [], 0
+        for b in batches:
+            held.append(b)
+            size_ += b.column(at).nbytes
+            if len(blocks) == 1 or size_ >= CHUNK_BYTES:
+                yield from searched(held)
+                held, size_ = [], 0
+        if held:
+            yield from searched(held)
+
+    return out.mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
