@@ -1,7 +1,7 @@
 """Quality rules with host-level verdicts, in DataFrame operations only.
 
 Each document is measured by itself (`measures`): words `[^\\x20\\x09-\\x0D]+`, their code points, symbols, repeated lines and words in
-repeated three-word windows. A document breaks a hard rule if it is short or repetitive (base_failed), and a soft rule if it has many
+repeated three-word windows (windows are told apart by a 64-bit hash of their words). A document breaks a hard rule if it is short or repetitive (base_failed), and a soft rule if it has many
 symbols or mostly repeated lines. Failures are summed by host; the hosts' rates get a beta prior by the method of moments over all
 hosts, and each host's rate is shrunk to it. The verdict on a host is joined back to its documents:
 

@@ -545,9 +545,12 @@ def test_pages(spark, sf_dir):
 # --- 6: benchmark
 
 
-def test_windows(spark):
+def test_windows(spark, monkeypatch):
+    from redactory.llm import decontam
     from redactory.llm.decontam import contamination, drop_contaminated
 
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 500)  # seen where the maps are made; workers have their own module
+
     rng = random.Random(7)
     word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa é1".split())
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([12, 10, 30, 3, 1, 0, 11])] + [(2, "twice the same item id, but other words in it, and more than ten of them"), (None, "an item without an id that has ten words in it"), (99, None)]
@@ -802,6 +805,51 @@ def test_language_of_copies_is_learned(spark):
     assert len(learn(many).languages) == 30 and len(learn(many, most_rows=10).languages) == 10
 
 
+def test_fit_equals_its_steps_one_by_one():
+    """Gradient steps of fit() against loops over rows, buckets and labels."""
+    from redactory.llm.langid import fit
+
+    rng = np.random.default_rng(1)
+    counts, labels, k, width = rng.integers(0, 5, (7, 6)).astype(np.float32), np.array([0, 1, 2, 0, 1, 2, 0]), 3, 4
+    model = fit(counts, labels, ["a", "b", "c"], width=width, rounds=2, rate=2.0, seed=5)
+    own = np.random.default_rng(5)
+    embed, layer, bias = own.normal(0, 0.1, (6, width)), own.normal(0, 0.1, (width, k)), np.zeros(k)
+    seen = [np.full(x.shape, 1e-8) for x in (embed, layer, bias)]
+    rows = [i for i in range(7) if i % 5 != 4]
+    for _ in range(2):
+        order = own.permutation(len(rows))
+        grads = [np.zeros(x.shape) for x in (embed, layer, bias)]
+        for i in (rows[j] for j in order):  # one batch holds them all
+            x = counts[i] / counts[i].sum()
+            hidden = [sum(x[b] * embed[b, h] for b in range(6)) for h in range(width)]
+            z = [sum(hidden[h] * layer[h, c] for h in range(width)) + bias[c] for c in range(k)]
+            p = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+            for c in range(k):
+                off = (p[c] - (labels[i] == c)) / len(rows)
+                grads[2][c] += off
+                for h in range(width):
+                    grads[1][h, c] += hidden[h] * off
+                    for b in range(6):
+                        grads[0][b, h] += x[b] * off * layer[h, c]
+        for w, g, s in zip((embed, layer, bias), grads, seen, strict=True):
+            s += g * g
+            w -= 0.2 * g / np.sqrt(s)
+    assert np.allclose(model.table, embed @ layer, atol=1e-4) and np.allclose(model.bias, bias, atol=1e-4)
+
+
+def test_the_sample_is_that_of_the_least_hashes(spark, monkeypatch):
+    from redactory.llm import langid
+
+    rows = [(f"text number {i % 40}", "ab"[i % 2]) for i in range(400)]
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda counts, labels, languages, **_: seen.update(counts=counts, labels=labels))
+    langid.learn(spark.createDataFrame(rows, "text string, lang string"), per_language=5)
+    hashed = spark.createDataFrame(sorted(set(rows)), "text string, lang string").select("text", "lang", F.xxhash64("text", F.lit(5)).alias("h")).collect()
+    expected = [r.text for lang in "ab" for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h % 2**64)[:5]]
+    brute = sorted(langid.subword_counts(t.encode()).tolist() for t in expected)
+    assert sorted(seen["counts"].tolist()) == brute and sorted(seen["labels"].tolist()) == [0] * 5 + [1] * 5
+
+
 # --- 10: language model
 
 
