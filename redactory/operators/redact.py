@@ -157,6 +157,11 @@ def restore_rows(df: DataFrame, mappings: DataFrame, session: str, key: list[str
     return met.withColumn("restored", restore(F.coalesce(F.col(text_col), F.lit("")), F.col("pairs"))).drop("pairs")
 
 
+def issued_types(mappings: DataFrame, session: str) -> DataFrame:
+    """session, types: the types of placeholders that a session issued, as unrestored() takes them. There are some dozens of types."""
+    return mappings.groupBy(session).agg(F.sort_array(F.collect_set("entity_type")).alias("types"))
+
+
 def unrestored(text: Column, issued_types: Column | None = None) -> Column:
     """Distinct tokens that are left in a text, of the types that were issued if these are given."""
     left = F.array_distinct(F.regexp_extract_all(text, F.lit(SHAPE), F.lit(0)))

@@ -14,7 +14,7 @@ from redactory.functions.arrays import batched, lists
 from redactory.functions.comments import comment_ranges, language_of
 from redactory.functions.tokens import line_pieces
 from redactory.operators.contextual import Words, carried_over, contextual_spans, national_ids
-from redactory.operators.embedding import built_in_centroids, business_spans, embed, gates, nearest_seed, ranked, scores, semantic_spans, vector_of
+from redactory.operators.embedding import Centroids, built_in_centroids, business_spans, embed, gates, nearest_seed, ranked, scores, semantic_spans, vector_of
 from redactory.operators.infra import Ranges, infra_spans
 from redactory.operators.spans import SPANS, Found, merge, merged, no_spans, outside_comments, span_lists, without_rules
 from redactory.operators.structural import PII_RULES, SECRET_RULES, Rule, spans_in
@@ -42,6 +42,8 @@ class ScanConfig:
     """A column with a language or file name: comments of source text are then let through, credentials of fixed form excepted."""
     carry_cols: tuple[str, str] | None = None
     """Columns with the rule id and label of a credential that an earlier turn asked for."""
+    centroids: Centroids = ()
+    """Centroids of one's own (see redactory.sources.files.read_centroids); the package's, if there are none."""
     disabled: tuple[str, ...] = field(default_factory=tuple)
     rules: tuple[Rule, ...] = field(default_factory=tuple)
     """Rules of one's own, beside those of fixed form."""
@@ -66,7 +68,7 @@ def scan_words(text: str, config: ScanConfig, on: dict[str, bool], carry: tuple[
     if config.infra:
         structural += infra_spans(text)
     context, seen = [], []
-    known = built_in_centroids() if config.routed and config.by_line else ()
+    known = (config.centroids or built_in_centroids()) if config.routed and config.by_line else ()
     for piece, at in line_pieces(text) if config.by_line else [(text, 0)]:
         if known:  # each line is routed by itself
             on = routed(piece, config)
@@ -79,9 +81,9 @@ def scan_words(text: str, config: ScanConfig, on: dict[str, bool], carry: tuple[
 
 
 def routed(text: str, config: ScanConfig) -> dict[str, bool]:
-    """Which context detectors a text is routed to by the built-in embedder; all, if its centroids are missing."""
-    known = built_in_centroids()
-    best = dict(ranked(vector_of(text)[None], known)[0]) if known else {}
+    """Which context detectors a text is routed to by the built-in embedder; all, if centroids are missing."""
+    known = config.centroids or built_in_centroids()
+    best = dict(ranked(vector_of(text, len(known[0][1]))[None], known)[0]) if known else {}
     return {k: not known or best.get(c, 0.0) >= config.route_min for k, c in _GATES.items()}
 
 
@@ -139,7 +141,7 @@ def _scan(df: DataFrame, text_col: str, config: ScanConfig, whole: bool) -> tupl
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = F.lit(None).cast("array<struct<category:string,score:double>>")
     if config.business or config.routed and config.vector_col and not config.by_line:
-        own = scores(F.col(config.vector_col) if config.vector_col else embed(text))
+        own = scores(F.col(config.vector_col) if config.vector_col else embed(text), config.centroids or None)
     inputs = {"text": text}
     if config.routed and config.vector_col and not config.by_line:
         inputs |= {f"on_{k}": v for k, v in gates(own, config.route_min).items()}

@@ -306,3 +306,30 @@ def test_column_predicates_equal_the_plain_ones(spark):
     for r in rows:
         expected = p.strip_quotes(r.v), p.is_secret_shaped(r.v), p.is_account_name(r.v), p.trim_word(r.v), p.digits_of(r.v), p.is_assigned_literal(r.v, f"x = '{r.v}\"")
         assert (r.s, r.secret, r.name, r.trim, r.digits, r.literal) == expected, r.v
+
+
+def test_files_of_ones_own(spark, tmp_path):
+    from redactory.operators.embedding import built_in_centroids, centroids
+    from redactory.sources.files import read_centroids, read_examples, read_seeds
+
+    put = lambda name, x: (tmp_path / name).write_text(x if isinstance(x, str) else json.dumps(x)) and str(tmp_path / name)
+    own = read_centroids(spark, put("a.json", {"pii": [0.0] * 255 + [1.0], "credentials": [1.0] + [0.0] * 255}))
+    assert [k for k, _ in own] == ["pii", "credentials"] and len(own[0][1]) == 256
+    for bad in ({"a": [1], "b": [1, 2]}, {"a": []}, {"a": ["x"]}, [1], {}, "no json"):
+        assert read_centroids(spark, put("b.json", bad)) is None
+    assert read_centroids(spark, str(tmp_path / "missing.json")) is None
+    text = ["my password is hunter2isnotsecure"]
+    assert spans_of(spark, text, ScanConfig(routed=True))[0] and spans_of(spark, text, ScanConfig(routed=True, by_line=True))[0]
+    # no line is near enough to these
+    far = tuple((k, tuple([0.0] * 256)) for k, _ in built_in_centroids())
+    assert spans_of(spark, text, ScanConfig(routed=True, centroids=far))[0] == [] == spans_of(spark, text, ScanConfig(routed=True, by_line=True, centroids=far))[0]
+    examples = read_examples(spark, put("c.json", {"x": ["one two", "two"], "y": ["three"]}))
+    assert {r.category for r in centroids(examples).collect()} == {"x", "y"} and read_examples(spark, put("d.json", {"x": "one"})) is None
+    seeds = read_seeds(spark, put("e.json", {"g": {"label": "L", "category": "PII", "severity": "low", "seeds": ["a", "b"]}}))
+    assert seeds.columns == seed_table(spark).columns and seeds.count() == 2 and read_seeds(spark, put("f.json", {"g": {}})) is None
+
+
+def test_issued_types(spark):
+    rows = [("s", "EMAIL"), ("s", "PAN"), ("s", "EMAIL"), ("t", "PAN")]
+    got = redact.issued_types(spark.createDataFrame(rows, "session string, entity_type string"), "session").collect()
+    assert {r.session: r.types for r in got} == {"s": ["EMAIL", "PAN"], "t": ["PAN"]}
