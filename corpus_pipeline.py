@@ -14,7 +14,7 @@ from redactory.llm.quality import filter_quality
 from redactory.llm.queries import table, vocabulary
 from redactory.llm.simhash import near_dedup
 from redactory.llm.token_files import id_counts, token_files
-from redactory.session import materialize
+from redactory.session import forget, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before)  # the next stage reads only what this one wrote
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,12 +37,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.llm.arrow import map_arrow, prepare
 from redactory.llm.token_files import open_folder
-from redactory.session import materialize, scratch_path
+from redactory.session import forget, materialize, remove, scratch_path
 
 #: Marks hold a space, so no word has their bytes.
 START, END = (xxhash.xxh64_intdigest(x) for x in (b" start", b" end"))
@@ -196,6 +196,11 @@ class Model:
     lower_types: tuple[int, int, int]
 
 
+def drop_model(spark: SparkSession, model: Model) -> None:
+    """Deletes a model's files, once nothing will be scored by it again."""
+    remove(spark, model.folder)
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from the numbers of types that occur once to four times; 0.5, 1 and 1.5 where these can't tell."""
     n1, n2, n3, n4 = n
@@ -276,7 +281,9 @@ def count_model(docs: DataFrame, *, text_col: str = "text", shards: int | None =
     packed = map_arrow(docs.select(F.col(text_col).alias("text")), pack, "shard int, data binary")
     counted = packed.groupBy("shard").applyInArrow(bigrams, "shard int, kind int, data binary")
     manifest = counted.groupBy("shard").applyInArrow(words, "kind string, shard long, name string, types long, tokens long, words long, n1 long, n2 long, n3 long, n4 long")
-    rows = materialize(manifest, "ngram-manifest").orderBy("kind", "shard").collect()  # a row for each shard
+    written = materialize(manifest, "ngram-manifest")
+    rows = written.orderBy("kind", "shard").collect()  # a row for each shard
+    forget(written)
     two, one = ([r for r in rows if r.kind == k] for k in ("bigrams", "words"))
     n, m = ([sum(r[f"n{k}"] for r in own) for k in (1, 2, 3, 4)] for own in (two, one))
     follower_types = sum(r.words for r in one)

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.session import ROWS_PER_FILE, materialize
+from redactory.session import ROWS_PER_FILE, forget, materialize
 
 LEVELS = ("__domain", "__lang", "__source")
 #: Name of a null domain, language or source.
@@ -119,6 +119,7 @@ def mix(docs: DataFrame, tree: Tree, *, domain: Column, lang: str = "lang", sour
     # ranges of the order: as many as a leaf has documents in each, so neither step of the sum is large
     bits = F.least(F.lit(40), F.ceil(F.log2("n") / 2)).cast("int")
     plan = materialize(plan.withColumns({"full": F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.when(F.col("share") > 0, epochs).otherwise(0)), "bits": bits}), "leaf-plan", n_leaves)
+    forget(leaves)
     plan = plan.withColumn("rest", F.col("share") - F.col("full") * F.col("tokens"))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), "__key")), 1, ORDER_BITS // 4), 16, 10).cast("long")
     at = F.expr(f"shiftrightunsigned(__order, {ORDER_BITS} - bits)")

@@ -139,8 +139,8 @@ def by_pairs_of_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("other", F.explode(others)).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
 
 
-def alike_links(reps: DataFrame, least: float) -> DataFrame:
-    """a, b: links of reps (key, bands, signature) with a share of equal min-hashes of at least `least`; they only propose."""
+def alike_links(reps: DataFrame, least: float, made: list[DataFrame] | None = None) -> DataFrame:
+    """a, b: links of reps (key, bands, signature) with a share of equal min-hashes of at least `least`; they only propose. made: takes the tables that they are read from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -170,6 +170,8 @@ def alike_links(reps: DataFrame, least: float) -> DataFrame:
             yield from ready(True)
 
     shared = materialize(shared_bands(reps), "shared-bands")
+    if made is not None:
+        made.append(shared)
     members = shared.where("key IS NOT NULL").join(reps.select("key", "signature").hint("merge"), "key")
     large = shared.where("key IS NULL").select("value", F.col("block").alias("n"))  # one row for GROUP members at least
     placed = members.join(large, "value", "left").withColumns({"own": F.when(F.col("n").isNull(), 0).otherwise(F.col("block")), "n": F.coalesce("n", F.lit(1))})
@@ -177,10 +179,11 @@ def alike_links(reps: DataFrame, least: float) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long")
 
 
-def confirmed_links(texts: DataFrame, classes: DataFrame, shingles: Callable[[str], np.ndarray], least: float, similarity: float) -> DataFrame:
+def confirmed_links(texts: DataFrame, classes: DataFrame, shingles: Callable[[str], np.ndarray], least: float, similarity: float, made: list[DataFrame] | None = None) -> DataFrame:
     """a, b: links that connect every two texts of a proposed class with a Jaccard similarity of at least `similarity`, and no others.
 
-    texts: doc_id, key, text, with repeats; classes: key, root, doc_id (of a row that has the text), signature.
+    texts: doc_id, key, text, with repeats; classes: key, root, doc_id (of a row that has the text), signature; made: takes the tables that
+    the links are read from.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +211,8 @@ def confirmed_links(texts: DataFrame, classes: DataFrame, shingles: Callable[[st
 
     # a class of more than BLOCK texts is dealt by pairs of its blocks; such classes are found first, so that no class meets them in one task
     large = materialize(classes.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n")).where("n > 1"), "large-classes")
+    if made is not None:
+        made.append(large)
     placed = classes.join(large, "root", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.when(F.col("n") == 1, 0).otherwise(F.pmod(F.xxhash64("key"), "n").cast("int")))
     found = texts.join(placed.withColumnRenamed("key", "__key").withColumnRenamed("doc_id", "__id").hint("merge"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     dealt = by_pairs_of_blocks(found.select("root", "n", "own", "key", "signature", "text")).select("root", "low", "high", "key", "signature", "text")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from redactory.llm.arrow import map_arrow, texts_of
 from redactory.llm.shingles import alike_links, bands_of, confirmed_links, min_hashes
-from redactory.session import materialize
+from redactory.session import forget, materialize
 
 BITS = 64
 
@@ -268,8 +268,8 @@ def group_links(groups: DataFrame, budget: int, limit: int, last: frozenset[int]
     return map_arrow(dealt, run, "fp long, root long, value long")
 
 
-def all_links(reps: DataFrame, budget: int, k: int, limit: int) -> DataFrame:
-    """a, b: links that connect every two fingerprints within the budget.
+def all_links(reps: DataFrame, budget: int, k: int, limit: int, made: list[DataFrame] | None = None) -> DataFrame:
+    """a, b: links that connect every two fingerprints within the budget. made: takes the tables that they are read from.
 
     Groups above the limit are split by more of their bits, those of as many choices as a byte tells apart in one job: a level of
     splitting is a few jobs, however many groups it has.
@@ -285,6 +285,8 @@ def all_links(reps: DataFrame, budget: int, k: int, limit: int) -> DataFrame:
             # with so few bits left, any two members of a group are within the budget
             last |= {c for c, rest in inside.items() if len(rest) <= budget}
         out = materialize(group_links(reduce(DataFrame.union, groups), budget, limit, frozenset(last)), "group-links")
+        if made is not None:
+            made.append(out)
         found.append(out.where("value IS NULL").select(F.col("fp").alias("a"), F.col("root").alias("b")))
         large = out.where("value IS NOT NULL")
         for r in large.select(F.col("value").bitwiseAND(F.lit(255)).alias("c")).distinct().orderBy("c").collect():  # 256 at most
@@ -299,16 +301,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for all nodes of links (a, b): root is the least node (as a signed long) that can be reached.
 
     Each round gives every node the least label among itself and its neighbours, then the label of that label. Joins and sums are over
-    keys that Spark splits or sums before shuffling; each round is a table in the shared folder.
+    keys that Spark splits or sums before shuffling; each round is a table in the shared folder, which is deleted when the next is there.
     """
-    size = None
+    size, made = None, []
     for _ in range(2):  # the neighbours of a node are linked to the least of them instead: a dense class has few links then
         down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         down = materialize(down, "links", size)
+        forget(*made)
         size = 2 * down.count()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         links = materialize(down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b").where("a <> b").distinct(), "links", size)
+        forget(down)
+        made = [links]
     both = materialize(links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), "links", size)
+    forget(*made)
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels", size)
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -317,9 +323,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         jump = least.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = materialize(least.join(jump, "root", "left").select("node", F.least("root", "up").alias("root"), "was"), "labels", size)
         changed = new.where(F.col("root") < F.col("was")).limit(1).count()
-        labels = new.select("node", "root")
+        forget(labels, least)
+        labels = new
         if not changed:
-            return labels
+            forget(both)
+            out = labels.select("node", "root")
+            out._scratch = labels._scratch
+            return out
     raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
 
 
@@ -327,10 +337,12 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id that is reachable)."""
     fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(all_links(reps, budget, agreeing(reps.count(), budget, group_size), group_limit))
+    roots = components(all_links(reps, budget, agreeing(reps.count(), budget, group_size), group_limit, made := []))
+    forget(*made)
     placed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
+    forget(reps, roots)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -346,23 +358,27 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     more = [F.min(F.struct("signature", "bands")).alias("s")] if alike is not None else []
     # ids in order, null last
     texts = materialize(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), *more), "distinct-texts")
-    prints = materialize(texts.groupBy("fp").agg(F.min("key").alias("first")), "distinct-fingerprints")
-    links = all_links(prints, budget, agreeing(prints.count(), budget, group_size), group_limit)
-    # from fingerprints to the texts that have them
-    first_of = lambda end: prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
-    links = links.join(first_of("a"), "a").join(first_of("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-    links = links.union(texts.join(prints, "fp").where(F.col("key") != F.col("first")).select(F.col("key").alias("a"), F.col("first").alias("b")))
+    prints = materialize(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    near = all_links(prints, budget, agreeing(prints.count(), budget, group_size), group_limit, made := [])
+    # fingerprints are nodes of their own, and texts are linked to theirs where it has other texts or links: no join is on the root of a class
+    node = lambda fp: F.xxhash64(F.lit("fingerprint"), fp)
+    linked = prints.where("n > 1").select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    links = near.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")).union(texts.join(linked, "fp", "left_semi").select(F.col("key").alias("a"), node(F.col("fp")).alias("b")))
     if alike is not None:
-        links = links.union(alike_links(texts.select("key", "s.bands", "s.signature"), alike))
+        links = links.union(alike_links(texts.select("key", "s.bands", "s.signature"), alike, made))
     roots = components(links)
+    forget(*made, prints)
     if alike is not None:
         own = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
         proposed = roots.withColumnRenamed("node", "key").join(texts.select("key", F.col("least.doc_id").alias("doc_id"), "s.signature"), "key")
-        roots = components(confirmed_links(own, proposed, partial(shingle_hashes, width=width), alike, similarity))
+        loose, made = roots, []
+        roots = components(confirmed_links(own, proposed, partial(shingle_hashes, width=width), alike, similarity, made))
+        forget(loose, *made)
     placed = texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = placed.groupBy("root").agg(F.min(F.struct("least", "key")).alias("l")).select(F.col("l.least.doc_id").alias("__id"), F.col("l.key").alias("__key"))
     times = rows.groupBy("key", "doc_id").count().where("count > 1")
     kept = materialize(named.join(times, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("__id", "__key", F.col("count").isNotNull().alias("__several")), "kept-texts")
+    forget(rows, texts, roots)
     keyed = docs.withColumn("__own", text_key(text_col))
     match = keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
     # both sides grow with the documents: they are always merged, never broadcast
