@@ -900,6 +900,37 @@ def test_kneser_ney_equals_brute_force(spark):
 # --- all
 
 
+def test_rows_of_nulls_and_repeats_go_through_all(spark, sf_dir):
+    """Nulls in every column, repeated rows and a very long text: each operator and stage gives its defined rows."""
+    import corpus_pipeline
+    from redactory.llm.decontam import contamination
+    from redactory.llm.html_text import extract_text
+    from redactory.llm.kneser_ney import count_model, score
+    from redactory.llm.langid import identify, learn
+    from redactory.llm.mixture import mix_documents
+    from redactory.llm.pii_crf import find_personal_data
+    from redactory.llm.quality import quality_report
+    from redactory.llm.simhash import simhash_components
+    from redactory.llm.token_count import count_tokens
+    from redactory.llm.token_files import token_files
+
+    words = " ".join(f"w{i}" for i in range(90))
+    rows = [(None, None, None, None, None)] * 2 + [(1, words, "en", "src1", 1)] * 2 + [(2, "é " * 150_000, None, None, None), (3, "", "de", "src11", 0), (None, words + " more", "en", "src1", 2)]
+    df = spark.createDataFrame(rows, DOCS)
+    bench = spark.createDataFrame([(None, None), (1, None), (None, "w1 w2 w3")], "item_id long, text string")
+    model = learn(df)
+    counted = {
+        "tokens": count_tokens(df, PATH), "mixture": mix_documents(df), "simhash": simhash_components(df), "files": token_files(spark, df, PATH), "windows": contamination(df, bench), "personal": find_personal_data(df),
+        "quality": quality_report(df), "language": identify(df, model), "perplexity": score(df, count_model(df)), "pages": extract_text(df.selectExpr("doc_id AS page_id", "lang AS url", "text AS html")),
+    }
+    assert {k: v.count() for k, v in counted.items()} == dict.fromkeys(counted, len(rows))
+    left = {name: stage(spark, df, sf_dir).count() for name, stage in corpus_pipeline.STAGES[:2]}
+    # the long text repeats itself and the short ones are too short; copies, the near copy, and empty texts are one each
+    assert left == {"quality rules": 3, "simhash near-dedup": 3}
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, df, sf_dir).count() > 0, name
+
+
 def test_queries_run_and_have_the_named_columns(spark, sf_dir, duck):
     from redactory.llm import queries
 
