@@ -52,15 +52,6 @@ def span(rule_id, label, severity, category, value, start, end) -> Column:
     return F.struct(*(x.alias(n) for n, x in zip(FIELDS, (rule_id, label, severity, category, value, start.cast("int"), end.cast("int")), strict=True)))
 
 
-def shift(spans: Column, by: Column) -> Column:
-    """Spans of a line, moved to their places in its text."""
-    return F.transform(spans, lambda s: s.withField("start", s["start"] + by).withField("end", s["end"] + by))
-
-
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (a["end"] > b["start"])
-
-
 def merge(structural: Column, contextual: Column, late: Column | None = None) -> Column:
     """Disjoint spans in order of place.
 
@@ -95,10 +86,6 @@ def _merge(structural: pa.Array, contextual: pa.Array, late: pa.Array) -> pa.Arr
     return pa.ListArray.from_arrays(offsets_of(sizes), every.take(pa.array(kept, pa.int64())))
 
 
-def by_start(spans: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s.alias("span")))), lambda x: x["span"])
-
-
 def without_rules(spans: Column, rule_ids: list[str]) -> Column:
     """Spans of other rules. It comes after merging: a rule that is off still keeps its place from others."""
     return F.filter(spans, lambda s: ~s["rule_id"].isin(rule_ids)) if rule_ids else spans

@@ -42,18 +42,21 @@ def _restore(texts: pa.Array, pairs: pa.Array) -> pa.Array:
     return pa.array([t if t is None else restore_text(t, [(p["token"], p["value"]) for p in own or []]) for t, own in rows], pa.string())
 
 
-class ScanText:
-    """A row for each span of a text."""
+def scanner(config: ScanConfig) -> type:
+    """The table function: a row for each span of a text."""
 
-    def eval(self, text: str) -> Iterator[tuple]:
-        yield from scan_text(text or "", ScanConfig()).spans(ScanConfig())
+    class ScanText:
+        def eval(self, text: str) -> Iterator[tuple]:
+            yield from scan_text(text or "", config).spans(config)
+
+    return ScanText
 
 
 def register(spark: SparkSession, config: ScanConfig | None = None) -> None:
-    """Makes the functions known to a session's SQL. config holds for detect_spans and redact, with rules of one's own (ScanConfig.rules)."""
+    """Makes the functions known to a session's SQL. config may bring rules of one's own (ScanConfig.rules)."""
     ship_package(spark)
     config = config or ScanConfig()
     spark.udf.register("detect_spans", arrow(partial(_detect, config), SPANS, 1))
     spark.udf.register("redact", arrow(partial(_redact, config), "string", 2))
     spark.udf.register("restore", arrow(_restore, "string", 2))
-    spark.udtf.register("scan_text", F.udtf(ScanText, returnType=ROW))
+    spark.udtf.register("scan_text", F.udtf(scanner(config), returnType=ROW))

@@ -239,6 +239,9 @@ def test_sql_functions(spark):
     assert (row.r, row.m, row.n, row.b) == ("email", "to ***", "", "a@b.co <<X_1>>")
     assert [(r.rule_id, r.start) for r in spark.sql("SELECT * FROM scan_text('mail a@b.co')").collect()] == [("email", 5)]
     assert spark.sql("SELECT * FROM scan_text(NULL)").count() == 0
+    udf.register(spark, ScanConfig(disabled=("email",)))
+    assert spark.sql("SELECT * FROM scan_text('mail a@b.co')").count() == 0 == spark.sql("SELECT size(detect_spans('a@b.co')) AS n").first().n
+    udf.register(spark)
 
 
 def test_ranges_and_highlights(spark):
