@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from redactory.session import spread
+
 N, C = "o_orderkey", "o_custkey"
 
 
@@ -54,10 +56,8 @@ SQL = f"SELECT {N} AS note_id, {C} AS session_id, {CASE} AS text FROM orders"
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The notes. A table of fewer splits than there are cores is spread first: detection costs far more than its shuffle."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(N, C)
-    if orders.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
-        orders = orders.repartition(cores)
+    """The notes, over all cores where their table is small: detection costs far more than its shuffle."""
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(N, C))
     return orders.selectExpr(f"{N} AS note_id", f"{C} AS session_id", f"{CASE} AS text")
 
 

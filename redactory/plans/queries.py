@@ -17,7 +17,7 @@ from redactory.operators.scan import ScanConfig, detect, findings
 from redactory.operators.spans import SPANS, merge, span
 from redactory.operators.structural import RULES, find, structural_spans
 from redactory.plans.notes import notes, phrases
-from redactory.session import materialize
+from redactory.session import materialize, spread
 from redactory.sources import settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,7 @@ def structural(rule_id: str) -> Query:
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emails and long digit runs with their places in all documents."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(structural_spans(F.col("text"), (RULES["email"], RULES["credit-card"]))).alias("s"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(structural_spans(F.col("text"), (RULES["email"], RULES["credit-card"]))).alias("s"))
     return found.select("doc_id", F.col("s.rule_id").alias("rule_id"), F.col("s.start").cast("long").alias("start_at"), F.col("s.value").alias("value"))
 
 
@@ -48,7 +48,7 @@ def detect_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(detect(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return findings(detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "doc_id")
 
 
 def detect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +237,7 @@ _TURNS = "CASE (conv_id + turn) % 5 WHEN 0 THEN 'the password is' WHEN 1 THEN co
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_TURNS} AS text")
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn")).selectExpr("conv_id", "turn", f"{_TURNS} AS text")
 
 
 def carry_over_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

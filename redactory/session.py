@@ -48,6 +48,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a table for each core, below which it is dealt out before it is read by costly tasks.
+BYTES_PER_CORE = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: it may be a single row group, which only one task reads. Others are as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, from their listing
+    return df.repartition(cores) if size < BYTES_PER_CORE * cores else df
+
+
 #: Narrow rows of a file in the shared folder.
 ROWS_PER_FILE = 200_000
 
