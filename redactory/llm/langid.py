@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.llm.arrow import map_arrow
+from redactory.session import forget, materialize
 
 BUCKETS, LONGEST = 4096, 4
 #: Labelled rows that training reads at most, of each language and of all together.
 PER_LANGUAGE, MOST_ROWS = 600, 6000
+#: Bits of the ranges in which a language's texts are counted.
+RANGE_BITS = 14
 #: What identify() adds to the columns of a table.
 COLUMNS = ("lang_pred", "score", "rejected")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
@@ -153,8 +156,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, languages: list[str], *, width:
 def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, seed: int = 5) -> Model | None:
     """Fits a model to a bounded sample of rows with a text and a label; None if there are none.
 
-    The sample is of distinct texts, those of the least hashes. It is taken in each partition first (Spark puts the limit of a rank before
-    the shuffle), so no task holds more than a language's bound per partition. Languages are those of the sample.
+    The sample is of distinct texts, those of the least hashes. Texts are counted by ranges of the hash first, and only those of the first
+    ranges are ranked, so a task gets little more than a language's bound, however many texts it has. Languages are those of the sample.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     near = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
@@ -165,10 +168,16 @@ def learn(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
             packed = [c.astype("<u4").tobytes() for c in counts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["lang", "h", "counts"])
 
-    # unsigned order: the sign bit is turned
-    first = Window.partitionBy("lang").orderBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    picked = near.select("lang", "h").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).orderBy("rank", "lang").limit(most_rows).select("lang", "h")
+    # ranges of the hash, in unsigned order: those up to the one in which a language's bound is reached hold its sample
+    texts = materialize(near.select("lang", "h").distinct().withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS)), "labelled-texts")
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("range"))
+    sizes = texts.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    ends = materialize(sizes.where(F.col("upto") - F.col("n") < per_language).groupBy("lang").agg(F.max("range").alias("last")), "labelled-ends")
+    first = Window.partitionBy("lang").orderBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))  # the sign bit is turned
+    few = texts.join(ends, "lang").where(F.col("range") <= F.col("last")).select("lang", "h")
+    picked = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).orderBy("rank", "lang").limit(most_rows).select("lang", "h")
     sample = map_arrow(near.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", "text").dropDuplicates(["lang", "h"]), run, "lang string, h long, counts binary").orderBy("lang", "h").collect()
+    forget(texts, ends)
     if not sample:
         return None
     languages = sorted({r.lang for r in sample})
